@@ -7,20 +7,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .html_text import main_text
+from .kd_sharding import kd_shards
+from .mixing import mix
+from .pii import find_pii
+from .projection_ann import nearest
+from .pu_quality import score
 from .simhash import near_duplicates
 from .spark_util import table
 from .substring_dedup import remove_repeats
 from .suffix_decontamination import contamination
+from .warc import page_derivatives
+
+
+def op1_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=20, digest=True)
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains (groups of sources), languages and sources; half of the tokens' volume, four epochs at most."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), r"([0-9]+)", 1)
+    domain = F.when(number == "", "other").otherwise(F.element_at(F.array(F.lit("web"), F.lit("books"), F.lit("news"), F.lit("forums")), (F.pmod(F.xxhash64(number), F.lit(4)) + 1).cast("int")))
+    docs = table(spark, sf_dir, "documents").withColumn("domain", domain)
+    weights = {("web",): 0.4, ("books",): 0.3, ("news",): 0.2, ("forums",): 0.1, ("*", "en"): 0.6, ("*", "de"): 0.15, ("*", "fr"): 0.15, ("*", "es"): 0.1}
+    mixed = mix(docs, levels=("domain", "lang", "source"), weights=weights, share=0.5, max_epochs=4, power=0.5)
+    return mixed.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens")
+
+
+def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = page_derivatives(table(spark, sf_dir, "pages"))
+    return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "source_digest", "block_digest", F.map_entries("headers").alias("headers"), F.decode("block", "UTF-8").alias("block"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select(
@@ -33,10 +68,26 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), accept=0.3)
+
+
+def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_projection_ann": op1_projection_ann,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_mix_sources": op3_mix_sources,
+    "op4_kd_sharding": op4_kd_sharding,
+    "op5_html_text": op5_html_text,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_warc_derivatives": op7_warc_derivatives,
     "op8_decontaminate": op8_decontaminate,
+    "op9_pu_quality": op9_pu_quality,
+    "op10_pii_spans": op10_pii_spans,
 }
 
 _SPACED = r"'[^\x20\x09-\x0D]+'"

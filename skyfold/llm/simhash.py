@@ -5,9 +5,8 @@ into ``radius + 2`` parts, so that two fingerprints within the radius agree on t
 pair of parts is a key. A key that too many fingerprints share is refined: its free bits are cut into ``radius + 1`` parts, of which
 two close fingerprints agree on one, until the groups are small. No key is capped or dropped.
 
-Inside a group, bit planes are stored vertically (bit b of 64 fingerprints in one machine word). Distances of a query to 64
-fingerprints are counted at once by carry-save adders, and a block of columns is abandoned once all of its distances exceed
-the radius.
+Inside a group, fingerprints are compared bit-sliced (see ``bitslice``): vertical bit planes, carry-save counters of many distances, and blocks
+abandoned once all exceed the radius.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .bitslice import close_pairs, forest
 from .components import components
 from .spark_util import cut
 
@@ -29,7 +29,6 @@ U = np.uint64
 P1, P2, P3, P4, P5 = (U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 #: Fingerprints that a group may hold before its key is refined; 2**10 at least, since 10 free bits can't be exceeded.
 GROUP = 4096
-ALL = (1 << 64) - 1
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
@@ -131,53 +130,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of, "doc_id long, fp long")
 
 
-def planes_of(fps: np.ndarray) -> np.ndarray:
-    """Bit planes [64, words]: bit b of 64 fingerprints in one machine word; unused columns are zero."""
-    n = -(-len(fps) // 64) * 64
-    bits = np.zeros((n, 64), np.uint8)
-    bits[: len(fps)] = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view(U)
-
-
-def close_pairs(fps: np.ndarray, radius: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j within ``radius`` bits (3 at most), by carry-save counters over bit planes."""
-    if not 0 <= radius <= 3:
-        raise ValueError("radius must be 0 to 3")
-    planes = planes_of(fps)
-    out_i, out_j = [], []
-    for q0 in range(0, len(fps), block):
-        q = fps[q0 : q0 + block]
-        cols = np.arange(q0 // 64, planes.shape[1])  # earlier columns were compared the other way round
-        ones = np.zeros((len(q), len(cols)), U)
-        twos, many = np.zeros_like(ones), np.zeros_like(ones)
-        for b in range(0, 64, 2):
-            flip = [(U(0) - ((q >> U(b + k)) & U(1)))[:, None] for k in (0, 1)]
-            x, y = (planes[b + k, cols][None, :] ^ flip[k] for k in (0, 1))
-            carry = (ones & x) | (y & (ones ^ x))
-            ones ^= x ^ y
-            many |= twos & carry
-            twos ^= carry
-            if b % 8 == 6:
-                over = many | (twos & ones if radius == 2 else twos if radius == 1 else twos | ones if radius == 0 else 0)
-                alive = (over != U(ALL)).any(axis=0)
-                if not alive.all():
-                    cols, ones, twos, many = cols[alive], ones[:, alive], twos[:, alive], many[:, alive]
-                if not len(cols):
-                    break
-        if not len(cols):
-            continue
-        over = many | (twos & ones if radius == 2 else twos if radius == 1 else twos | ones if radius == 0 else 0)
-        hit_i, hit_w = np.nonzero(over != U(ALL))
-        bits = np.unpackbits(np.ascontiguousarray(~over[hit_i, hit_w]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        k, bit = np.nonzero(bits)
-        i, j = q0 + hit_i[k], cols[hit_w[k]] * 64 + bit
-        ok = (j > i) & (j < len(fps))
-        out_i.append(i[ok])
-        out_j.append(j[ok])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
-
-
 def _parts(free: list[int], n: int) -> list[int]:
     """Masks of n parts of the free bits."""
     return [sum(1 << b for b in free[k::n]) for k in range(n)]
@@ -188,29 +140,15 @@ def _signed(mask: int) -> int:
 
 
 def _roots(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """For each group of fingerprints, an edge from each one to the smallest in its component inside the group."""
+    """Edges of a spanning forest of the close pairs in each group of fingerprints."""
     for batch in batches:
-        us, vs = [], []
-        for group in batch.column(0):
-            fps = np.unique(np.array(group.values.to_numpy(zero_copy_only=False), np.int64))
-            i, j = close_pairs(fps.view(U), radius)
-            if not len(i):
-                continue
-            root = np.arange(len(fps))
-            while True:
-                low = np.minimum(root[i], root[j])
-                new = root.copy()
-                np.minimum.at(new, i, low)
-                np.minimum.at(new, j, low)
-                new = new[new]
-                if (new == root).all():
-                    break
-                root = new
-            moved = np.flatnonzero(root != np.arange(len(fps)))
-            us.append(fps[moved])
-            vs.append(fps[root[moved]])
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+        groups = batch.column(0)
+        fps = groups.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        size = np.diff(groups.offsets.to_numpy())
+        i, j, _ = close_pairs(fps.view(U)[:, None], np.repeat(np.arange(len(size)), size), radius)
+        if len(i):
+            i, j = forest(len(fps), i, j)
+            yield pa.RecordBatch.from_arrays([pa.array(fps[i]), pa.array(fps[j])], ["u", "v"])
 
 
 def links(fps: DataFrame, radius: int = 2, group: int = GROUP) -> DataFrame:

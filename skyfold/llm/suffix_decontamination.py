@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over shards of the training texts.
 
-A shard is about a million words of whole documents. Its suffixes are put into a suffix array (prefix doubling on word ranks), every suffix of every
+A shard is some 300,000 words of whole documents. Its suffixes are put into a suffix array (prefix doubling on word ranks), every suffix of every
 test item is binary-searched in it, which gives the longest verbatim match and the places of each test window. Words that no test item
 holds end a match, so suffixes that meet one before the shortest window is full can't match and are left out of the array.
 
@@ -23,10 +23,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 BLOCK_BYTES = 8 << 20
-
-
-def _two_hashes(words: tk.Words) -> np.ndarray:
-    return tk.word_hashes(words)
+#: Text of a shard; its arrays take some 40 times as much.
+SHARD_BYTES = 2 << 20
 
 
 @dataclass
@@ -46,7 +44,7 @@ class TestBlock:
         """``rows``: (item id as a string, text)."""
         texts = pa.array([t for _, t in rows], pa.string())
         parts = list(tk.chunks(texts, tk.ALNUM, lower=True))
-        hashes = np.concatenate([np.zeros(0, tk.U), *(_two_hashes(w) for w in parts)])
+        hashes = np.concatenate([np.zeros(0, tk.U), *(tk.word_hashes(w) for w in parts)])
         counts = np.concatenate([np.zeros(0, np.int64), *(np.diff(w.first) for w in parts)])
         vocabulary, tokens = np.unique(hashes, return_inverse=True)
         item_of = np.repeat(np.arange(len(counts)), counts)
@@ -156,13 +154,13 @@ def _search(batches: Iterator[pa.RecordBatch], test: TestBlock, window: int) ->
             continue
         size, runs = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
         found, best = [set() for _ in range(batch.num_rows)], np.zeros(batch.num_rows, np.int64)
-        for words in tk.chunks(batch.column("text"), tk.ALNUM, lower=True, size=6 << 20):
+        for words in tk.chunks(batch.column("text"), tk.ALNUM, lower=True, size=SHARD_BYTES):
             n = np.diff(words.first)
             size[words.row : words.row + len(n)] = n
             if not len(test.queries) or not len(words.starts):
                 continue
             # word ids, with a 0 after each document
-            h = _two_hashes(words)
+            h = tk.word_hashes(words)
             maybe = np.flatnonzero(table[h >> tk.U(44)])
             where = np.minimum(np.searchsorted(test.vocabulary, h[maybe]), len(test.vocabulary) - 1)
             right = test.vocabulary[where] == h[maybe]

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ import pyarrow as pa
 U = np.uint64
 BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASES = (0xD6E8FEB86659FD93 | 1, 0xA0761D6478BD642F | 1)
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 #: word bytes of ``[^\x20\x09-\x0D]+``
 SPACED = np.ones(256, bool)
@@ -94,18 +93,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Powers are kept for chunks of the usual length; those of longer documents are made each time.
+KEPT_POWERS = CHUNK_BYTES + 1
+
+
+def _make_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, base, U), np.full(n, pow(base, -1, 1 << 64), U)
-    if n:
-        up[0] = down[0] = 1
+    up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n."""
-    up, down = _powers(base, 1 << max(16, int(n - 1).bit_length()) if n else 1)
-    return up[:n], down[:n]
+    if n > KEPT_POWERS:
+        return _make_powers(base, n)
+    have = _POWERS.get(base)
+    if have is None or len(have[0]) < n:
+        have = _POWERS[base] = _make_powers(base, min(KEPT_POWERS, 2 * n))
+    return have[0][:n], have[1][:n]
 
 
 def _sums(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
