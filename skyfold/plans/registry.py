@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import columns, images, regions
+
+QUERIES = columns.QUERIES | regions.QUERIES | images.QUERIES
+ORACLES = columns.ORACLES | regions.ORACLES | images.ORACLES
