@@ -126,6 +126,11 @@ def _pattern(text: str, a: int, b: int, kind: str) -> str:
         votes["strict"] = "+" if re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", s) else "0"
         votes["checksum"] = "+" if re.search(r"[\[({]", s) else "-" if re.search(r"\s", s) else "0"
         votes["gazetteer"] = "+" if re.split(r"[^A-Za-z]+", s.strip(" )]}"))[-1].lower() in DOMAINS else "-"
+    elif kind == "ip" and ":" not in s:
+        octets = s.split(".")
+        votes["strict"] = "+" if len(octets) == 4 else "-"
+        votes["checksum"] = "+" if all(len(p) == len(str(int(p))) for p in octets if len(p) < 4) else "-"
+        votes["gazetteer"] = "+" if re.match(r"(?:10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.", s) else "0"
     elif kind == "ip":
         groups = s.split(":")
         votes["strict"] = "+" if len(groups) == 8 or "::" in s else "-"
@@ -199,7 +204,8 @@ def fit(counts: dict[str, int], rounds: int = 50) -> Model:
         keys = sorted(p for p in counts if p.startswith(kind + ":"))
         if not keys:
             continue
-        n = np.array([counts[p] for p in keys], float)
+        # damped counts: one frequent form does not decide what rare ones look like
+        n = np.log1p([counts[p] for p in keys])
         votes = np.array([[{"-": -1, "0": 0, "+": 1}[v] for v in p.split(":")[1]] for p in keys])
         # probability of a vote of + / - / none given a true and given a false candidate
         like = np.full((2, len(LABELERS), 3), 1.0)
