@@ -48,14 +48,14 @@ def metadata(docs: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     )
     raw = cut(raw.withColumn("tie", F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "size"), 64 - TIE_BITS)))
     if not dims:
-        return raw
+        return raw.withColumn("root", F.lit(0).cast("long"))
     ends = raw.agg(*[f(f"v{i}").alias(f"{n}{i}") for i in range(len(dims)) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     out = []
     for i in range(len(dims)):
         lo, hi = ends[f"lo{i}"], ends[f"hi{i}"]
         scale = ((1 << COORD_BITS) - 1) / (hi - lo) if lo is not None and hi > lo else 0.0
         out.append(F.floor((F.col(f"v{i}") - F.lit(lo or 0.0)) * F.lit(scale)).cast("long").alias(f"c{i}"))
-    return raw.select("doc_id", "size", "text_crc32", "tie", *out)
+    return raw.select("doc_id", "size", "text_crc32", "tie", F.lit(0).cast("long").alias("root"), *out)
 
 
 def _values(df: DataFrame, names: str, rows: list[tuple]) -> DataFrame:
@@ -79,7 +79,7 @@ def _place(dims: int) -> Column:
 
 def assign(meta: DataFrame, dims: int, shards: int) -> DataFrame:
     """``meta`` with a column shard from 0 to shards - 1."""
-    rows = meta.withColumn("node", F.lit(0).cast("long"))
+    rows = meta.withColumnRenamed("root", "node")
     due = {0: (0, shards)}  # node: first shard, how many
     done: dict[int, int] = {}
     next_id = 1
