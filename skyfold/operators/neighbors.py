@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import AXES, parts
 
 MORTON_BITS = 21
+CROWD = 512
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -55,13 +56,14 @@ def nearest(points: DataFrame, queries: DataFrame, pos: str = "pos", point_id: s
 
     ``ignore_self``: leave points at distance zero out. Queries without any point left are not in the result.
     """
-    p = points.select(F.col(point_id).alias("id"), F.col(pos).alias("__p"))
+    # points at one place differ by their ids only: the smallest stands for all, however many there are
+    p = points.groupBy(F.col(pos).alias("__p")).agg(F.min(point_id).alias("id")).select("id", "__p")
     left = queries.select(F.col(query_id).alias("qid"), F.col(pos).alias("__q"))
     n, side = _extent(p, F.col("__p"))
     if not n:
         return left.select("qid", F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("d2")).limit(0)
     _, q_side = _extent(left, F.col("__q"))
-    width = width or max(side / max(1.0, n ** (1 / 3)), 1e-300) or 1.0
+    width = width or _first_width(p, side, n)
     span = max(side, q_side, width)
     found = []
     while True:
@@ -88,6 +90,17 @@ def nearest(points: DataFrame, queries: DataFrame, pos: str = "pos", point_id: s
     return out
 
 
+def _first_width(p: DataFrame, side: float, n: int) -> float:
+    """The mean spacing, halved while a cell holds over ``CROWD`` points: queries in a dense place are done in small cells, and few are left when cells get wide."""
+    width = side / n ** (1 / 3) or 1.0
+    for _ in range(20):
+        cells = [_cell(c, width).alias(f"c{k}") for k, c in zip(AXES, parts(F.col("__p")))]
+        if p.groupBy(*cells).count().agg(F.max("count")).first()[0] <= CROWD:
+            break
+        width /= 2
+    return width
+
+
 def _gap(p: DataFrame, q: DataFrame) -> float:
     """Largest distance that any query can have to any point, by their bounding boxes."""
     ends = [df.agg(*[f(F.col(f"{c}.{n}")).alias(f"{k}{n}") for n in AXES for k, f in (("lo", F.min), ("hi", F.max))]).first() for df, c in ((p, "__p"), (q, "__q"))]
