@@ -1,19 +1,22 @@
 """Nearest neighbours and radius search as equi-joins on grid cells, and Morton keys.
 
 Points and queries meet on integer cell numbers; a query looks into the 27 cells around its own. A match no further than the cell's width is
-proven to be the nearest. Queries without one go on with cells twice as wide. No cross join, nothing collected.
+proven to be the nearest. Queries without one go on with cells twice as wide. No cross join. A set of points of a checked size is sent to the queries' tasks instead.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import AXES, parts
+from .cells import SENT_POINTS, CellIndex
 
 MORTON_BITS = 21
 CROWD = 512
@@ -51,10 +54,11 @@ def _extent(points: DataFrame, pos: Column) -> tuple[int, float]:
     return r["n"], max(r[f"hi{n}"] - r[f"lo{n}"] for n in AXES) if r["n"] else 0.0
 
 
-def nearest(points: DataFrame, queries: DataFrame, pos: str = "pos", point_id: str = "id", query_id: str = "qid", ignore_self: bool = False, width: float | None = None) -> DataFrame:
-    """The nearest point of each query: query_id, id and d2 (squared distance); ties go to the smaller id.
+def nearest(points: DataFrame, queries: DataFrame, pos: str = "pos", point_id: str = "id", query_id: str = "qid", ignore_self: bool = False, width: float | None = None, sent_points: int = SENT_POINTS) -> DataFrame:
+    """The nearest point of each query: qid, id and d2 (squared distance); ties go to the smaller id.
 
-    ``ignore_self``: leave points at distance zero out. Queries without any point left are not in the result.
+    ``ignore_self``: leave points at distance zero out. Queries without any point left are not in the result. Up to ``sent_points`` points
+    are sent to the queries' tasks as one grid; with more, points and queries meet in joins on cells.
     """
     # points at one place differ by their ids only: the smallest stands for all, however many there are
     p = points.groupBy(F.col(pos).alias("__p")).agg(F.min(point_id).alias("id")).select("id", "__p")
@@ -62,6 +66,8 @@ def nearest(points: DataFrame, queries: DataFrame, pos: str = "pos", point_id: s
     n, side = _extent(p, F.col("__p"))
     if not n:
         return left.select("qid", F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("d2")).limit(0)
+    if n <= sent_points:
+        return _nearest_sent(p, left, ignore_self)
     _, q_side = _extent(left, F.col("__q"))
     width = width or _first_width(p, side, n)
     span = max(side, q_side, width)
@@ -90,6 +96,28 @@ def nearest(points: DataFrame, queries: DataFrame, pos: str = "pos", point_id: s
     return out
 
 
+def _nearest_sent(p: DataFrame, queries: DataFrame, ignore_self: bool) -> DataFrame:
+    table = p.orderBy("id").toArrow()  # at most sent_points rows, as counted before
+    ids, places = table.column("id").combine_chunks(), table.column("__p").combine_chunks()
+    sent = p.sparkSession.sparkContext.broadcast((ids, _matrix(places)))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, points = sent.value
+        index = CellIndex(points)
+        for batch in batches:
+            if batch.num_rows:
+                who, d2 = index.nearest(_matrix(batch.column(1)), ignore_self)
+                ok = np.flatnonzero(who >= 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), ids.take(pa.array(who[ok])), pa.array(d2[ok])], ["qid", "id", "d2"])
+
+    kinds = {**dict(queries.dtypes), **dict(p.dtypes)}
+    return queries.select("qid", "__q").mapInArrow(look, f"qid {kinds['qid']}, id {kinds['id']}, d2 double")
+
+
+def _matrix(places: pa.StructArray) -> np.ndarray:
+    return np.stack([places.field(k).to_numpy(zero_copy_only=False) for k in range(3)], 1).astype(np.float64)
+
+
 def _first_width(p: DataFrame, side: float, n: int) -> float:
     """The mean spacing, halved while a cell holds over ``CROWD`` points: queries in a dense place are done in small cells, and few are left when cells get wide."""
     width = side / n ** (1 / 3) or 1.0

@@ -12,6 +12,7 @@ from skyfold.conf import EngineConf
 from skyfold.functions.bins import edge_bin, make_edges
 from skyfold.functions.geometry import box, shell
 from skyfold.operators import deposit, neighbors, slices
+from skyfold.operators.cells import CellIndex
 from skyfold.operators.camera import Camera, Script
 from skyfold.operators.histogram import histogram1d, histogram2d
 from skyfold.orientation import Orientation
@@ -130,11 +131,18 @@ def test_nearest_and_radius_against_brute_force(spark):
     p, q = rng.random((300, 3)), rng.random((200, 3)) * 3 - 1
     frame = lambda a, name: spark.createDataFrame([(i, Row(x=float(x), y=float(y), z=float(z))) for i, (x, y, z) in enumerate(a)], f"{name} long, pos struct<x:double,y:double,z:double>")
     d2 = ((q[:, None] - p[None]) ** 2).sum(2)
-    got = {r["qid"]: r["id"] for r in neighbors.nearest(frame(p, "id"), frame(q, "qid")).collect()}
-    assert got == dict(enumerate(d2.argmin(1)))
+    p[7] = p[3]
+    d2 = ((q[:, None] - p[None]) ** 2).sum(2)
+    for sent in (0, 1000):
+        got = {r["qid"]: r["id"] for r in neighbors.nearest(frame(p, "id"), frame(q, "qid"), sent_points=sent).collect()}
+        assert got == dict(enumerate(d2.argmin(1)))
+        apart = ((p[:, None] - p[None]) ** 2).sum(2)
+        apart[apart == 0] = np.inf
+        got = {r["qid"]: r["id"] for r in neighbors.nearest(frame(p, "id"), frame(p, "qid"), ignore_self=True, sent_points=sent).collect()}
+        assert got == dict(enumerate(apart.argmin(1)))
     inside = {(r["qid"], r["id"]) for r in neighbors.within(frame(p, "id"), frame(q, "qid"), 0.3).collect()}
     assert inside == set(zip(*np.nonzero(d2 <= 0.09)))
-    index = slices.CellIndex(p)
+    index = CellIndex(p)
     who, dist = index.nearest(q)
     assert (who == d2.argmin(1)).all() and np.allclose(dist, d2.min(1))
     assert neighbors.nearest(frame(p[:0], "id"), frame(q, "qid")).count() == 0
