@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .spark_util import cut
 
 #: Rows on which the cells are fitted, cells, rows of a block, queries that a copy of a block serves, rows of a bucket.
-SAMPLE, MAX_LEAVES, BLOCK_ROWS, BLOCK_QUERIES, BUCKET = 20_000, 4096, 4096, 1024, 32
-DIMS, CONFIDENCE = 8, 0.97
+SAMPLE, MAX_LEAVES, BLOCK_ROWS, BLOCK_QUERIES, BUCKET = 20_000, 4096, 2048, 1024, 32
+DIMS, CONFIDENCE = 8, 0.95
 
 
 def chi2_cdf(x: float, m: int) -> float:
@@ -146,20 +146,25 @@ class Block:
 
         ``bound``: k-th squared distance that is known already. ``factor``: quantile of the chi-square test.
         """
-        slack = 1e-9 * top * top
-        norm = math.sqrt(float((q * q).sum()))
+        slack, close = 1e-9 * top * top, 1e-12 * top * top
+        norm = math.sqrt(float(q @ q))
         gap = np.maximum(0, np.maximum(self.low - at, at - self.high))
-        near = (gap * gap).sum(1)
-        if math.isfinite(bound):
-            live = near <= factor * bound + slack
-            rows = np.flatnonzero(live[self.bucket])
-        else:
-            rows = np.arange(len(self.ids))
-        far = ((self.p[rows] - at) ** 2).sum(1)
-        if math.isfinite(bound):
+        near = np.einsum("ij,ij->i", gap, gap)
+        known = math.isfinite(bound)
+        rows = np.flatnonzero((near <= factor * bound + slack)[self.bucket]) if known else np.arange(len(self.ids))
+        diff = self.p[rows] - at
+        far = np.einsum("ij,ij->i", diff, diff)
+        if known:
             inside = far <= factor * bound + slack
             rows, far = rows[inside], far[inside]
-        order = np.argsort(far, kind="stable")
+        # where most rows are to be verified, one matrix product is cheaper than picking them
+        rough = self.x @ q if 4 * len(rows) > len(self.ids) else None
+        if known and rough is not None:
+            # what the bound already rules out needs no exact score
+            least = (2 * top * top - bound) * norm / (2 * top)
+            good = rough[rows] >= least - close * max(norm, 1.0)
+            rows, far = rows[good], far[good]
+        order = np.argsort(far)
         rows, far = rows[order], far[order]
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
         done, step = 0, max(64, 2 * k)
@@ -167,8 +172,13 @@ class Block:
             if far[done] > factor * bound + slack:
                 break
             part = rows[done : done + step]
-            done, step = done + len(part), min(2 * step, 1024)
+            done, step = done + len(part), min(2 * step, 2048)
             part = part[self.ids[part] != own]
+            if rough is not None and len(ids) == k:
+                part = part[rough[part] >= scores[-1] - close * max(norm, 1.0)]
+            if not len(part):
+                continue
+            # summed in one fixed order, so that equal vectors have equal scores
             got = (self.x[part] * q).sum(1)
             ids, scores = np.concatenate([ids, self.ids[part]]), np.concatenate([scores, got])
             best = np.lexsort((ids, -scores))[:k]
