@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -159,16 +160,28 @@ def _pattern(text: str, a: int, b: int, kind: str) -> str:
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[Candidate]:
     """Spans of the loose forms that no base span overlaps, and the base spans themselves, each with its votes."""
-    taken = sorted((a, b) for a, b, _ in base)
     out = [Candidate(a, b, k, _pattern(text, a, b, k)) for a, b, k in base]
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b, _ in sorted(base):  # disjoint runs, since base spans of different kinds may overlap
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for kind in KINDS:
         if not NEEDS[kind].search(text):
             continue
+        free: list[tuple[int, int]] = []
         for m in LOOSE[kind].finditer(text):
             a, b = m.span()
-            if not any(x < b and a < y for x, y in taken):
-                taken.append((a, b))
+            i = bisect_left(ends, a + 1)
+            if i == len(starts) or starts[i] >= b:
+                free.append((a, b))
                 out.append(Candidate(a, b, kind, _pattern(text, a, b, kind)))
+        if free:
+            both = sorted([*zip(starts, ends), *free])
+            starts, ends = [x for x, _ in both], [y for _, y in both]
     return out
 
 

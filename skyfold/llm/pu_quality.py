@@ -226,17 +226,17 @@ def score(docs: DataFrame, labels: DataFrame, accept: float = 0.3, max_rows: int
     Without a positive label or any text to train on, every score is 0.5. Repeated rows give repeated results, an empty table an empty one.
     """
     model = fit(docs, labels, max_rows)
-    names = {c: f"__keep{i}" for i, c in enumerate(keep)}
-    id_type = dict(docs.dtypes)["doc_id"]
-    out = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.coalesce(fold(F.col("doc_id")) == 0, F.lit(True)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    # a kept text is the scored one, and goes to Python once
+    names = {c: "text" if c == "text" and dict(docs.dtypes)[c] == "string" else f"__keep{i}" for i, c in enumerate(keep)}
+    out = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items() if n != "text"], F.coalesce(fold(F.col("doc_id")) == 0, F.lit(True)).alias("held_out"), F.col("text").cast("string").alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.full(batch.num_rows, 0.5) if model is None or not batch.num_rows else model.score(features(batch.column("text")))
-            cols = [batch.column(n) for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(got, pa.float64())], [*(n for n in batch.schema.names if n != "text"), "score"])
+            stay = [n for n in batch.schema.names if n != "text" or "text" in names.values()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in stay), pa.array(got, pa.float64())], [*stay, "score"])
 
-    fields = ", ".join([*(f"`{n}` {t}" for n, t in out.drop("text").dtypes), "score double"])
+    fields = ", ".join([*(f"`{n}` {t}" for n, t in out.dtypes if n != "text" or "text" in names.values()), "score double"])
     scored = out.mapInArrow(of, fields)
     return scored.select(*[F.col(n).alias(c) for c, n in names.items()], "held_out", "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 

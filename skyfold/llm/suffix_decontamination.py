@@ -194,6 +194,26 @@ def _search(batches: Iterator[pa.RecordBatch], test: TestBlock, window: int) ->
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *out.values()], [*kept, *out])
 
 
+def _finished(batch: pa.RecordBatch, keep: list[str]) -> pa.RecordBatch:
+    """Word runs as counts and text; the document's text stays behind."""
+    n_hit, spans = [], []
+    for hits in batch.column("hits").to_pylist():
+        runs = np.frombuffer(hits, np.int32).reshape(-1, 2)
+        if not len(runs):
+            n_hit.append(0)
+            spans.append("")
+            continue
+        order = np.argsort(runs[:, 0], kind="stable")
+        a, b = runs[order, 0], np.maximum.accumulate((runs[:, 0] + runs[:, 1])[order])
+        new = np.r_[True, a[1:] > b[:-1]]
+        starts, ends = a[new], b[np.r_[np.flatnonzero(new)[1:] - 1, len(a) - 1]]
+        n_hit.append(int((ends - starts).sum()))
+        spans.append(",".join(f"{s}:{e}" for s, e in zip(starts.tolist(), ends.tolist())))
+    flags = pa.array([x > 0 for x in n_hit], pa.bool_())
+    columns = [*(batch.column(n) for n in keep), batch.column("n_words"), pa.array(n_hit, pa.int64()), batch.column("items"), batch.column("longest"), pa.array(spans, pa.string()), flags]
+    return pa.RecordBatch.from_arrays(columns, [*keep, "n_words", "n_hit", "items", "longest", "spans", "contaminated"])
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """For each row of ``docs``: the ``keep`` columns, n_words, n_hit, items (ids as strings, sorted), longest (words of the longest verbatim match that holds a window), spans
     (word runs that are hit, as ``start:end``) and contaminated.
@@ -207,36 +227,21 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_byt
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item") + 32), F.lit(0)).alias("b")).first()
     rounds = max(1, math.ceil(size["b"] / block_bytes))
-    names = {c: f"__keep{i}" for i, c in enumerate(keep)}
-    out = docs.select(*[F.col(c).alias(names[c]) for c in keep], F.col("text").cast("string").alias("text"))
+    # a kept text is the searched one, and goes to Python once
+    names = {c: "text" if c == "text" and dict(docs.dtypes)[c] == "string" else f"__keep{i}" for i, c in enumerate(keep)}
+    out = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items() if n != "text"], F.col("text").cast("string").alias("text"))
     fields = ", ".join([*(f"`{n}` {t}" for n, t in out.dtypes), "n_words long, hits binary, items array<string>, longest long"])
+    kinds = dict(out.dtypes)
+    result = ", ".join([*(f"`{n}` {kinds[n]}" for n in names.values()), "n_words long, n_hit long, items array<string>, longest long, spans string, contaminated boolean"])
     for k in range(rounds):
         part = items if rounds == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(rounds)) == k)
         test = TestBlock.of([(r["item"], r["text"]) for r in part.toLocalIterator()], window)
-        out = out.mapInArrow(lambda it, t=test: _search(it, t, window), fields)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_hit, spans = [], []
-            for hits in batch.column("hits").to_pylist():
-                runs = np.frombuffer(hits, np.int32).reshape(-1, 2)
-                if not len(runs):
-                    n_hit.append(0)
-                    spans.append("")
-                    continue
-                order = np.argsort(runs[:, 0], kind="stable")
-                a, b = runs[order, 0], np.maximum.accumulate((runs[:, 0] + runs[:, 1])[order])
-                new = np.r_[True, a[1:] > b[:-1]]
-                starts, ends = a[new], b[np.r_[np.flatnonzero(new)[1:] - 1, len(a) - 1]]
-                n_hit.append(int((ends - starts).sum()))
-                spans.append(",".join(f"{s}:{e}" for s, e in zip(starts.tolist(), ends.tolist())))
-            cols = [batch.column(names[c]) for c in keep]
-            flags = pa.array([x > 0 for x in n_hit], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*cols, batch.column("n_words"), pa.array(n_hit, pa.int64()), batch.column("items"), batch.column("longest"), pa.array(spans, pa.string()), flags], [*names.values(), "n_words", "n_hit", "items", "longest", "spans", "contaminated"])
-
-    kinds = dict(out.dtypes)
-    last = out.drop("text").mapInArrow(finish, ", ".join([*(f"`{n}` {kinds[n]}" for n in names.values()), "n_words long, n_hit long, items array<string>, longest long, spans string, contaminated boolean"]))
-    return last.select(*[F.col(n).alias(c) for c, n in names.items()], "n_words", "n_hit", "items", "longest", "spans", "contaminated")
+        if k < rounds - 1:
+            out = out.mapInArrow(lambda it, t=test: _search(it, t, window), fields)
+        else:
+            # the last round also finishes its rows: one Python worker for each task, not two
+            out = out.mapInArrow(lambda it, t=test: (_finished(b, list(names.values())) for b in _search(it, t, window)), result)
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], "n_words", "n_hit", "items", "longest", "spans", "contaminated")
 
 
 def items_digest(items: list[str]) -> str:
