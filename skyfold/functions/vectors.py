@@ -38,10 +38,10 @@ def curl(g: Column) -> tuple[Column, Column, Column]:
 
 
 def curvature(b: Column, g: Column) -> Column:
-    """Length of (G b) / b^2 - b (b G b) / b^4."""
+    """Length of (G b) / b^2 - b (b G b) / b^4; null where b is zero. Without a CASE around it, so that common parts are computed once."""
     b = parts(b)
     along = [dot((g[f"g{k}0"], g[f"g{k}1"], g[f"g{k}2"]), b) for k in range(3)]
     size = dot(b, b)
     both = dot(b, along)
-    out = [along[k] / size - b[k] * both / (size * size) for k in range(3)]
-    return F.when(size > 0, F.sqrt(dot(out, out)))
+    out = [F.try_divide(along[k], size) - F.try_divide(b[k] * both, size * size) for k in range(3)]
+    return F.sqrt(dot(out, out))
