@@ -137,9 +137,9 @@ def close_pairs(sigs: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nd
     return tuple(np.concatenate([none, *(f[x] for f in found)]) for x in range(3))
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest, lightest first where there are weights."""
-    root = list(range(n))
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels once those in ``a`` and ``b`` are one, pair by pair; the smallest stays."""
+    root = np.arange(len(label)).tolist()
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -147,11 +147,41 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray | None = Non
             x = root[x]
         return x
 
-    order = range(len(i)) if weight is None else np.argsort(weight, kind="stable").tolist()
-    a, b, keep = i.tolist(), j.tolist(), []
-    for e in order:
-        x, y = find(a[e]), find(b[e])
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            keep.append(e)
-    return i[keep], j[keep]
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    at = np.unique(label)
+    top = np.arange(len(label))
+    top[at] = [find(x) for x in at.tolist()]
+    return top[label]
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """Indices of the edges of a minimum spanning forest of n nodes; nodes with one ``label`` are one node.
+
+    Each round, every tree takes its lightest way out; the number of trees at least halves.
+    """
+    order = np.argsort(weight, kind="stable")
+    i, j = i[order], j[order]
+    label = np.arange(n) if label is None else label
+    live, keep = np.arange(len(order)), []
+    while True:
+        a, b = label[i[live]], label[j[live]]
+        out = a != b
+        live, a, b = live[out], a[out], b[out]
+        if not len(live):
+            break
+        best = np.full(n, len(order))
+        best[a[::-1]] = live[::-1]  # ascending ranks: the lightest is written last
+        other = np.full(n, len(order))
+        other[b[::-1]] = live[::-1]
+        best = np.minimum(best, other)
+        pick = np.unique(best[best < len(order)])
+        keep.append(pick)
+        label = _merged(label, label[i[pick]], label[j[pick]])
+    return order[np.concatenate(keep)] if keep else order[:0]
+
+
+def components_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component."""
+    return _merged(np.arange(n), i, j)

@@ -1,11 +1,13 @@
 """Near-duplicate documents by wide SimHash signatures over word shingles.
 
-Similarity is the Jaccard similarity J of the documents' sets of ``shingle`` words, read off a SimHash of ``64 * WORDS`` bits: two
-sets differ in each bit with probability acos(2J / (1 + J)) / pi. The standard error at J = 0.8 is 0.03.
+Similarity is the Jaccard similarity J of the documents' sets of ``shingle`` words. A SimHash of ``64 * WORDS`` bits estimates it: two
+sets differ in each bit with probability acos(2J / (1 + J)) / pi; the standard error at J = 0.8 is 0.03.
 
 Candidates share a band of minimum shingle hashes (J = 0.8 shares one with probability 0.998). Inside a band's groups the signatures
-are compared bit-sliced, and only the edges of a minimum spanning forest leave the task. Copies of a text are one member. A
-group of over ``GROUP`` members is dealt over chunks, and each pair of chunks is one task, so that no link is lost.
+are compared bit-sliced. Pairs well within the radius are links; pairs near it are compared on their shingles. Only two spanning forests of a group leave its task. Copies of a text are one member.
+
+A group of over ``GROUP`` members is dealt over chunks, which are compared within themselves first. What is linked by then needs no further comparison with itself:
+members outside the group's largest component are then compared with all others, chunk by chunk. So a tight group of any size costs in proportion to its size, and no link is lost.
 """
 
 from __future__ import annotations
@@ -15,23 +17,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .bitslice import close_pairs, forest
+from .bitslice import close_pairs, components_of, forest
 from .components import components
 from .spark_util import cut
 
-WORDS, BANDS, ROWS, GROUP = 8, 12, 4, 2048
+WORDS, BANDS, ROWS, GROUP = 8, 12, 4, 1024
+#: Texts near the border that are sent to all tasks as numbers (8 bytes each); more go through a shuffle.
+SENT = 200_000
+#: Pairs compared in one piece.
+PAIRS = 1 << 21
 _SEEDS = tk.mixed(np.arange(1, 1 + BANDS * ROWS + WORDS, dtype=tk.U) * tk.U(0x9E3779B97F4A7C15))
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float32)
 
 
-def radius_for(similarity: float, bits: int = 64 * WORDS) -> int:
-    """Expected distance at a Jaccard similarity, plus half its standard deviation."""
+def radius_for(similarity: float, deviations: float, bits: int = 64 * WORDS) -> int:
+    """Expected distance at a Jaccard similarity, plus so many standard deviations."""
     p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return int(bits * p + 0.5 * math.sqrt(bits * p * (1 - p)))
+    return max(0, int(bits * p + deviations * math.sqrt(bits * p * (1 - p))))
 
 
 def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,17 +48,22 @@ def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[new], doc[new]
 
 
-def signatures_of(words: tk.Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures [documents, WORDS] and band keys [documents, BANDS] over distinct shingles; fewer words are one shingle, none give zeros."""
+def shingles_of(words: tk.Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes and their documents, which ascend; fewer words are one shingle."""
     per_doc = np.diff(words.first)
-    n = len(per_doc)
-    sigs, bands = np.zeros((n, WORDS), tk.U), np.zeros((n, BANDS), tk.U)
     h = tk.word_hashes(words)
     at = np.flatnonzero(words.room() >= shingle)
     short = np.flatnonzero((per_doc > 0) & (per_doc < shingle))
     parts = [(tk.window_hashes(h, at, shingle), words.doc_of()[at])]
     parts += [(tk.window_hashes(h, words.first[[d]], int(per_doc[d])), np.array([d])) for d in short]
-    h, doc = _distinct(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+    return _distinct(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+
+def signatures_of(words: tk.Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures [documents, WORDS] and band keys [documents, BANDS] over distinct shingles; no words give zeros."""
+    n = len(words.first) - 1
+    sigs, bands = np.zeros((n, WORDS), tk.U), np.zeros((n, BANDS), tk.U)
+    h, doc = shingles_of(words, shingle)
     if not len(h):
         return sigs, bands
     have, start = np.unique(doc, return_index=True)
@@ -88,17 +99,96 @@ def _mark(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(of, "id long, copy string, sig binary, bands array<long>")
 
 
-def _edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def _compared(sigs: np.ndarray, group: np.ndarray, sure: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of two spanning forests of the close pairs in each group, and their distances; the second leaves out what sure links join."""
+    i, j, far = close_pairs(sigs, group, radius)
+    n = len(sigs)
+    first = forest(n, i, j, far)
+    firm = first[far[first] <= sure]
+    label = components_of(n, i[firm], j[firm])
+    rest = np.ones(len(i), bool)
+    rest[first] = False
+    rest &= label[i] != label[j]
+    rest = np.flatnonzero(rest)
+    second = rest[forest(n, i[rest], j[rest], far[rest], label)]
+    few = np.concatenate([first, second])
+    return i[few], j[few], far[few]
+
+
+def _edges(batches: Iterator[pa.RecordBatch], sure: int, radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a group follow one another; a group that is cut by the end of a batch waits for the next."""
+    keys, ids, sigs = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS), tk.U)
+
+    def of(keys: np.ndarray, ids: np.ndarray, sigs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)]
+        size = np.diff(edge)
+        cost = np.cumsum(size * size)
+        at = 0
+        while at < len(size):
+            to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + PAIRS, "right")))
+            lo, hi = edge[at], edge[to]
+            i, j, far = _compared(sigs[lo:hi], np.repeat(np.arange(to - at), size[at:to]), sure, radius)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][i]), pa.array(ids[lo:hi][j]), pa.array(far <= sure)], ["u", "v", "sure"])
+            at = to
+
     for batch in batches:
-        groups = batch.column(0)
-        size = np.diff(groups.offsets.to_numpy())
-        members = groups.flatten()
-        ids = members.field("node").to_numpy(zero_copy_only=False)
-        sigs = np.frombuffer(b"".join(members.field("sig").to_pylist()), tk.U).reshape(-1, WORDS)
-        i, j, far = close_pairs(sigs, np.repeat(np.arange(len(size)), size), radius)
-        if len(i):
-            i, j = forest(len(ids), i, j, far)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["u", "v"])
+        if not batch.num_rows:
+            continue
+        keys = np.concatenate([keys, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)], 1)])
+        ids = np.concatenate([ids, batch.column("node").to_numpy(zero_copy_only=False)])
+        data, _ = tk.buffers(batch.column("sig"))
+        sigs = np.concatenate([sigs, np.frombuffer(data.tobytes(), tk.U).reshape(-1, WORDS)])
+        new = np.flatnonzero((keys[1:] != keys[:-1]).any(1))
+        if len(new):
+            last = int(new[-1]) + 1
+            yield from of(keys[:last], ids[:last], sigs[:last])
+            keys, ids, sigs = keys[last:], ids[last:], sigs[last:]
+    if len(ids):
+        yield from of(keys, ids, sigs)
+
+
+def _linked(members: DataFrame, low: Column, high: Column, sure: int, radius: int) -> DataFrame:
+    """u, v and sure for pairs of ``members`` (band, key, node, sig) with the same band, key, low and high."""
+    rows = members.select(F.col("band").cast("long").alias("band"), "key", low.cast("long").alias("low"), high.cast("long").alias("high"), "node", "sig")
+    rows = rows.repartition("band", "key", "low", "high").sortWithinPartitions("band", "key", "low", "high")
+    return rows.mapInArrow(lambda it: _edges(it, sure, radius), "u long, v long, sure boolean")
+
+
+def _verified(found: DataFrame, keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """u and v of the links in ``found`` (u, v, sure; written out): the sure ones, and those whose sets of shingles are similar enough."""
+    near = found.filter("NOT sure").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    near = cut(near)
+    need = cut(near.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    if need.count() <= SENT:
+        need = F.broadcast(need)
+    texts = keyed.select(F.xxhash64("copy").alias("node"), "text").join(need, "node", "left_semi").dropDuplicates(["node"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in tk.chunks(batch.column("text"), tk.SPACED, lower=True):
+                n = len(words.first) - 1
+                h, doc = shingles_of(words, shingle)
+                ends = np.r_[0, np.cumsum(np.bincount(doc, minlength=n))].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(words.row, n), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["node", "set"])
+
+    sets = cut(texts.mapInArrow(of, "node long, set array<long>"))
+    pairs = near.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+    both = F.size(F.array_intersect("a", "b"))
+    alike = pairs.filter(both >= F.lit(similarity - 1e-9) * (F.size("a") + F.size("b") - both)).select("u", "v")
+    return found.filter("sure").select("u", "v").union(alike)
+
+
+def _between(member: DataFrame, size: DataFrame, roots: DataFrame, group: int, sure: int, radius: int) -> DataFrame:
+    """Pairs of a hot group of which one at least is outside the group's largest component so far."""
+    rooted = member.join(size, ["band", "key"]).join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("v", "node")).drop("v")
+    each = rooted.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
+    top = each.groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("t"), F.sum("n").alias("all")).select("band", "key", F.col("t.root").alias("top"), F.ceil(F.col("t.n") / group).alias("inside"), F.ceil((F.col("all") - F.col("t.n")) / group).alias("outside"))
+    dealt = rooted.join(top.filter("outside > 0"), ["band", "key"]).withColumn("most", F.col("root") == F.col("top"))
+    draw = F.xxhash64("node", "band")
+    dealt = dealt.withColumn("mine", F.when(F.col("most"), F.pmod(draw, F.col("inside"))).otherwise(F.col("inside") + F.pmod(draw, F.col("outside"))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(F.col("most"), F.col("inside")).otherwise(F.lit(0).cast("long")), F.col("inside") + F.col("outside") - 1)))
+    return _linked(dealt, F.least("mine", "other"), F.greatest("mine", "other"), sure, radius)
 
 
 def groups_of(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
@@ -109,15 +199,16 @@ def groups_of(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group:
     # one member for each text, named by a number of its own
     texts = marked.groupBy("copy").agg(F.min("sig").alias("sig"), F.min("bands").alias("bands")).withColumn("node", F.xxhash64("copy"))
     member = texts.select("node", "sig", F.posexplode("bands").alias("band", "key"))
-    size = member.groupBy("band", "key").count().filter("count > 1")
-    chunks = F.ceil(F.col("count") / group)
-    dealt = member.join(size, ["band", "key"]).withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("node", "band"), F.col("chunks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    sets = dealt.groupBy("band", "key", low.alias("low"), high.alias("high")).agg(F.collect_list(F.struct("node", "sig")).alias("members"))
-    radius = radius_for(similarity)
-    edges = sets.filter(F.size("members") > 1).select("members").mapInArrow(lambda it: _edges(it, radius), "u long, v long")
+    size = cut(member.groupBy("band", "key").count().filter("count > 1"))
+    sure, radius = radius_for(similarity, -3.5), radius_for(similarity, 3.0)
+    dealt = member.join(size, ["band", "key"])
+    chunk = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("count") / group))
+    edges = cut(_verified(cut(_linked(dealt, chunk, F.lit(0), sure, radius)), keyed, shingle, similarity))
     roots = components(edges)
+    hot = size.filter(F.col("count") > group)
+    if hot.take(1):
+        more = _verified(cut(_between(member, hot.select("band", "key"), roots, group, sure, radius)), keyed, shingle, similarity)
+        roots = components(roots.union(more))
     return marked.select("id", "copy", F.xxhash64("copy").alias("node")).join(roots, F.col("node") == F.col("u"), "left").select("id", "copy", F.coalesce("v", "node").alias("root"))
 
 

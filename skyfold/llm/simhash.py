@@ -145,10 +145,10 @@ def _roots(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         groups = batch.column(0)
         fps = groups.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         size = np.diff(groups.offsets.to_numpy())
-        i, j, _ = close_pairs(fps.view(U)[:, None], np.repeat(np.arange(len(size)), size), radius)
+        i, j, far = close_pairs(fps.view(U)[:, None], np.repeat(np.arange(len(size)), size), radius)
         if len(i):
-            i, j = forest(len(fps), i, j)
-            yield pa.RecordBatch.from_arrays([pa.array(fps[i]), pa.array(fps[j])], ["u", "v"])
+            few = forest(len(fps), i, j, far)
+            yield pa.RecordBatch.from_arrays([pa.array(fps[i[few]]), pa.array(fps[j[few]])], ["u", "v"])
 
 
 def links(fps: DataFrame, radius: int = 2, group: int = GROUP) -> DataFrame:
