@@ -29,31 +29,58 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words of class, id and role that mark what is no article.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|sidebar\w*|side|aside|widget\w*|cookies?|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|newsletter|subscribe|signup|login|share\w*|sharing|social\w*|related|recommend\w*|comments?|commentlist|replies|reply|disqus|respond|pagination|pager|search\w*|copyright|legal|skip|toolbar|tags?cloud|complementary|contentinfo|navigation|dialog)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adsby\w*|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|sidebar\w*|side|aside|widget\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|newsletter|subscribe|signup|login|share\w*|sharing|social\w*|related|recommend\w*|comments?(?:list|area|box|section|thread|form|body|text)?|replies|reply|disqus|respond|pagination|pager|search\w*|copyright|legal|skip|toolbar|tags?cloud|complementary|contentinfo|navigation|dialog)(?:$|[\s_-])",
     re.I,
 )
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article(?:body)?|post(?:-?(?:body|content))?|entry(?:-?content)?|story(?:-?body)?|main-?content|content-?(?:body|main))(?:$|[\s_-])", re.I)
+#: Tokens that mark a whole region in which an article lies, the article's own heading, and tokens that say what stands beside.
+REGION = frozenset("content main".split())
+OWN_HEAD = re.compile(r"(?:article|entry|post|story)[_-]?(?:header|head|title)", re.I)
+BESIDE = re.compile(r"(?:has|no|with|without)[_-]", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACE = re.compile(r"\s+")
 
 
+def _role(tag: str, names: list[str]) -> tuple[bool, int]:
+    """Whether class names, ids and roles mark what is no article, and whether they mark an article (2) or a region around one (1).
+
+    A token that speaks of both, such as post-comments, marks no article; an element with an article's token of its own is one.
+    """
+    noise = article = region = False
+    for token in names:
+        if OWN_HEAD.fullmatch(token) or BESIDE.match(token):
+            continue
+        if NOISE.search(token):
+            noise = True
+        elif ARTICLE.search(token):
+            article = True
+        elif token.lower() in REGION:
+            region = True
+    if tag in ("html", "body", "main"):
+        noise = article = region = False
+    noise = noise and not article
+    if tag == "article" and not noise:
+        article = True
+    return noise, 2 if article else 1 if tag == "main" or region and not noise else 0
+
+
 class Lines(HTMLParser):
     """Collects the lines of a page from parser events."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, no article, article
-        self.out: list[tuple[str, int, int, bool, bool]] = []  # text, tags, link characters, inside an article, heading
+        self.stack: list[tuple[str, bool, int]] = []  # tag, no article, article (2) or region (1)
+        self.out: list[tuple[str, int, int, int, bool]] = []  # text, tags, link characters, inside an article (2) or a region (1), heading
         self.text: list[str] = []
         self.tags = self.link = self.links = 0
-        self.noise = self.article = 0
+        self.noise = self.article = self.region = 0
         self.heading = False
 
     def flush(self) -> None:
         if self.text:
             line = SPACE.sub(" ", "".join(self.text)).strip()
             if line and not self.noise:
-                self.out.append((line, self.tags, self.link, self.article > 0, self.heading))
+                self.out.append((line, self.tags, self.link, 2 if self.article else int(self.region > 0), self.heading))
             self.text.clear()
         self.tags = self.link = 0
 
@@ -69,16 +96,15 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        name = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "itemprop")) if attrs else ""
-        article = tag in ("article", "main") or bool(name and ARTICLE.search(name))
-        inside = self.article > 0
-        noise = tag in DROPPED or (tag == "header" and not inside) or bool(name and tag not in ("html", "body", "article", "main") and NOISE.search(name) and not article) or any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v)) for k, v in attrs)
+        marked, level = _role(tag, [x for k, v in attrs if v and k in ("class", "id", "role", "itemprop") for x in v.split()])
+        noise = marked or tag in DROPPED or (tag == "header" and not self.article and not self.region) or any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v)) for k, v in attrs)
         if noise and not self.noise:
             self.flush()
         self.noise += noise
-        self.article += article
+        self.article += level == 2
+        self.region += level == 1
         self.links += tag == "a"
-        self.stack.append((tag, noise, article))
+        self.stack.append((tag, noise, level))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -102,9 +128,10 @@ class Lines(HTMLParser):
         return None
 
     def _pop(self, i: int) -> None:
-        for tag, noise, article in self.stack[i:]:
+        for tag, noise, level in self.stack[i:]:
             self.noise -= noise
-            self.article -= article
+            self.article -= level == 2
+            self.region -= level == 1
             self.links -= tag == "a"
         del self.stack[i:]
 
@@ -150,13 +177,14 @@ def threshold(ratios: np.ndarray) -> float:
     return float(np.expm1((low + high) / 2))
 
 
-def content(lines: list[tuple[str, int, int, bool, bool]], sigma: float = 1.0) -> list[str]:
+def content(lines: list[tuple[str, int, int, int, bool]], sigma: float = 1.0) -> list[str]:
     """The lines of the content region, in page order."""
     if not lines:
         return []
-    marked = any(x[3] for x in lines)
+    within = [sum(len(x[0]) for x in lines if x[3] >= level) for level in (1, 2)]
+    marked = 2 if within[1] and 2 * within[1] >= within[0] else 1 if within[0] else 0
     if marked:
-        lines = [x for x in lines if x[3]]
+        lines = [x for x in lines if x[3] >= marked]
     size = np.array([len(x[0]) for x in lines], float)
     link = np.minimum(1, np.array([x[2] for x in lines]) / size)
     ratio = smoothed(size * (1 - link) / np.maximum(1, [x[1] for x in lines]), sigma)

@@ -179,6 +179,8 @@ WANT = "First paragraph of the story, long enough to be one.\nSecond one & more,
         f"<body><div class='cookie-notice'><p>We use cookies on this page.</p></div><div>{ARTICLE}</div><form><p>Your name please</p><input name=q></form>",
         f"<article><div class='ad'>Buy now</div>{ARTICLE}<section class='comments'><p>A reader's comment that goes on and on.</p></section></article><footer>f",
         f"<article><!-- note --><style>p{{}}</style>{ARTICLE.replace('</p>', '')}<div hidden>secret</div></article>",
+        f"<main><p class='breadcrumb'>a / b</p><article class='post has-sidebar'>{ARTICLE}<div class='post-comments'><p>So true.</p></div><p class='article-share'>Tell others</p></article><section id='more'><article class='comment'><p>Reader's words.</p></article></section></main>",
+        f"<div class='content'>{ARTICLE}<div class='related-articles'><article class='card'><h2>Another story</h2></article></div></div><div class='cookiebar'>We use them</div>",
     ],
 )
 def test_main_text(page):
