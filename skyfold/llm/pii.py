@@ -85,10 +85,13 @@ LOOSE = {
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4}){1,4}(?![0-9A-Fa-f:])"),
     "card": re.compile(r"(?<![0-9A-Za-z])[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9A-Za-z])"),
     "phone": re.compile(r"(?<![0-9A-Za-z.+])(?:\+|00)?[0-9]{0,3}[\x20.-]?\(?[0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])"),
-    "secret": re.compile(r"(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]*[0-9])[0-9A-Za-z+/_-]{20,}={0,2}(?![0-9A-Za-z+/_=-])"),
+    "secret": re.compile(
+        r"(?:(?<=(?i:password)[=:])|(?<=(?i:passwort)[=:])|(?<=(?i:passwd)[=:])|(?<=(?i:pass)[=:])|(?<=(?i:pwd)[=:])|(?<=(?i:secret)[=:])|(?<=(?i:token)[=:])|(?<=(?i:key)[=:]))(?!//)[0-9A-Za-z+/_!#$%&*-]{8,}={0,2}"
+        r"|(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]*[0-9])[0-9A-Za-z+/_-]{20,}={0,2}(?![0-9A-Za-z+/_=-])"
+    ),
 }
 #: What a text must hold for a loose form to be tried.
-NEEDS = {"email": re.compile(r"@|[\[({]\s?at\s?[\])}]", re.I), "ip": re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"), "card": re.compile(r"[0-9]{4}"), "phone": re.compile(r"[0-9]{3}[\x20.-]?[0-9]{3,4}"), "secret": re.compile(r"[0-9A-Za-z+/_-]{20}")}
+NEEDS = {"email": re.compile(r"@|[\[({]\s?at\s?[\])}]", re.I), "ip": re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"), "card": re.compile(r"[0-9]{4}"), "phone": re.compile(r"[0-9]{3}[\x20.-]?[0-9]{3,4}"), "secret": re.compile(r"[0-9A-Za-z+/_-]{20}|(?i:passwort|password|passwd|pass|pwd|secret|token|key)[=:][^\s]{8}")}
 CONTEXT = {
     "email": re.compile(r"e-?mail|mail|contact|write|correo|courriel|@|kontakt", re.I),
     "ip": re.compile(r"\bip\b|ipv[46]|address|host|server|addr|login", re.I),
