@@ -4,7 +4,8 @@ Similarity is the Jaccard similarity J of the documents' sets of ``shingle`` wor
 sets differ in each bit with probability acos(2J / (1 + J)) / pi; the standard error at J = 0.8 is 0.03.
 
 Candidates share a band of minimum shingle hashes (J = 0.8 shares one with probability 0.998). Inside a band's groups the signatures
-are compared bit-sliced. Pairs well within the radius are links; pairs near it are compared on their shingles. Only two spanning forests of a group leave its task. Copies of a text are one member.
+are compared bit-sliced. Pairs well within the radius are links, of which a spanning forest leaves the task; pairs near it are compared on their shingles, each member's ``FIRST``
+nearest ones first. A group that has more of them is looked at again: what is linked by then needs no comparison, and all other pairs are compared. Copies of a text are one member.
 
 A group of over ``GROUP`` members is dealt over chunks, which are compared within themselves first. What is linked by then needs no further comparison with itself:
 members outside the group's largest component are then compared with all others, chunk by chunk. So a tight group of any size costs in proportion to its size, and no link is lost.
@@ -28,6 +29,8 @@ from .spark_util import cut
 WORDS, BANDS, ROWS, GROUP = 8, 12, 4, 1024
 #: Texts near the border that are sent to all tasks as numbers (8 bytes each); more go through a shuffle.
 SENT = 200_000
+#: Pairs near the border for each member of a group in the first round.
+FIRST = 8
 #: Pairs compared in one piece.
 PAIRS = 1 << 21
 _SEEDS = tk.mixed(np.arange(1, 1 + BANDS * ROWS + WORDS, dtype=tk.U) * tk.U(0x9E3779B97F4A7C15))
@@ -99,25 +102,37 @@ def _mark(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(of, "id long, copy string, sig binary, bands array<long>")
 
 
-def _compared(sigs: np.ndarray, group: np.ndarray, sure: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of two spanning forests of the close pairs in each group, and their distances; the second leaves out what sure links join."""
+def _compared(sigs: np.ndarray, group: np.ndarray, root: np.ndarray, sure: int, radius: int, first: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges i, j and distances, and the groups that have more: a spanning forest of the sure links, and each member's ``first`` nearest of the others (all, if None)
+    between members that neither ``root`` nor sure links join."""
     i, j, far = close_pairs(sigs, group, radius)
     n = len(sigs)
-    first = forest(n, i, j, far)
-    firm = first[far[first] <= sure]
-    label = components_of(n, i[firm], j[firm])
-    rest = np.ones(len(i), bool)
-    rest[first] = False
-    rest &= label[i] != label[j]
-    rest = np.flatnonzero(rest)
-    second = rest[forest(n, i[rest], j[rest], far[rest], label)]
-    few = np.concatenate([first, second])
-    return i[few], j[few], far[few]
-
-
-def _edges(batches: Iterator[pa.RecordBatch], sure: int, radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows of a group follow one another; a group that is cut by the end of a batch waits for the next."""
-    keys, ids, sigs = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS), tk.U)
+    label = np.unique(root, return_inverse=True)[1]
+    label = np.unique(label, return_index=True)[1][label]
+    apart = label[i] != label[j]
+    i, j, far = i[apart], j[apart], far[apart]
+    firm = np.flatnonzero(far <= sure)
+    firm = firm[forest(n, i[firm], j[firm], far[firm], label)]
+    joined = components_of(n, np.r_[i[firm], np.arange(n)], np.r_[j[firm], label])
+    open_ = np.flatnonzero((far > sure) & (joined[i] != joined[j]))
+    open_ = open_[np.argsort(far[open_], kind="stable")]
+    kept = open_
+    if first is not None and len(open_):
+        ends = np.concatenate([i[open_], j[open_]])
+        order = np.lexsort((np.tile(np.arange(len(open_)), 2), ends))
+        at = ends[order]
+        start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        rank = np.empty(len(at), np.int64)
+        rank[order] = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)]))
+        kept = open_[np.minimum(rank[: len(open_)], rank[len(open_) :]) < first]
+    few = np.concatenate([firm, kept])
+    left = np.setdiff1d(open_, kept)
+    return i[few], j[few], far[few], np.unique(group[i[left]])
+
+
+def _edges(batches: Iterator[pa.RecordBatch], sure: int, radius: int, first: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows of a group follow one another; a group that is cut by the end of a batch waits for the next. A group that has more pairs is named in a row without nodes."""
+    keys, ids, sigs = np.zeros((0, 4), np.int64), np.zeros((0, 2), np.int64), np.zeros((0, WORDS), tk.U)
 
     def of(keys: np.ndarray, ids: np.ndarray, sigs: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)]
@@ -127,16 +142,22 @@ def _edges(batches: Iterator[pa.RecordBatch], sure: int, radius: int) -> Iterato
         while at < len(size):
             to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + PAIRS, "right")))
             lo, hi = edge[at], edge[to]
-            i, j, far = _compared(sigs[lo:hi], np.repeat(np.arange(to - at), size[at:to]), sure, radius)
+            i, j, far, more = _compared(sigs[lo:hi], np.repeat(np.arange(to - at), size[at:to]), ids[lo:hi, 1], sure, radius, first)
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][i]), pa.array(ids[lo:hi][j]), pa.array(far <= sure)], ["u", "v", "sure"])
+                none = pa.nulls(len(i), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi, 0][i]), pa.array(ids[lo:hi, 0][j]), pa.array(far <= sure), none, none], names)
+            if len(more):
+                none = pa.nulls(len(more), pa.int64())
+                named = keys[edge[at:to]][more]
+                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(more), pa.bool_()), pa.array(named[:, 0]), pa.array(named[:, 1])], names)
             at = to
 
+    names = ["u", "v", "sure", "band", "key"]
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = np.concatenate([keys, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)], 1)])
-        ids = np.concatenate([ids, batch.column("node").to_numpy(zero_copy_only=False)])
+        ids = np.concatenate([ids, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("node", "root")], 1)])
         data, _ = tk.buffers(batch.column("sig"))
         sigs = np.concatenate([sigs, np.frombuffer(data.tobytes(), tk.U).reshape(-1, WORDS)])
         new = np.flatnonzero((keys[1:] != keys[:-1]).any(1))
@@ -148,11 +169,11 @@ def _edges(batches: Iterator[pa.RecordBatch], sure: int, radius: int) -> Iterato
         yield from of(keys, ids, sigs)
 
 
-def _linked(members: DataFrame, low: Column, high: Column, sure: int, radius: int) -> DataFrame:
-    """u, v and sure for pairs of ``members`` (band, key, node, sig) with the same band, key, low and high."""
-    rows = members.select(F.col("band").cast("long").alias("band"), "key", low.cast("long").alias("low"), high.cast("long").alias("high"), "node", "sig")
+def _linked(members: DataFrame, low: Column, high: Column, sure: int, radius: int, first: int | None) -> DataFrame:
+    """u, v and sure for pairs of ``members`` (band, key, node, root, sig) with the same band, key, low and high; band and key alone where there are more than ``first``."""
+    rows = members.select(F.col("band").cast("long").alias("band"), "key", low.cast("long").alias("low"), high.cast("long").alias("high"), "node", "root", "sig")
     rows = rows.repartition("band", "key", "low", "high").sortWithinPartitions("band", "key", "low", "high")
-    return rows.mapInArrow(lambda it: _edges(it, sure, radius), "u long, v long, sure boolean")
+    return cut(rows.mapInArrow(lambda it: _edges(it, sure, radius, first), "u long, v long, sure boolean, band long, key long"))
 
 
 def _verified(found: DataFrame, keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -179,16 +200,15 @@ def _verified(found: DataFrame, keyed: DataFrame, shingle: int, similarity: floa
     return found.filter("sure").select("u", "v").union(alike)
 
 
-def _between(member: DataFrame, size: DataFrame, roots: DataFrame, group: int, sure: int, radius: int) -> DataFrame:
+def _between(rooted: DataFrame, group: int, sure: int, radius: int) -> DataFrame:
     """Pairs of a hot group of which one at least is outside the group's largest component so far."""
-    rooted = member.join(size, ["band", "key"]).join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("v", "node")).drop("v")
     each = rooted.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
     top = each.groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("t"), F.sum("n").alias("all")).select("band", "key", F.col("t.root").alias("top"), F.ceil(F.col("t.n") / group).alias("inside"), F.ceil((F.col("all") - F.col("t.n")) / group).alias("outside"))
     dealt = rooted.join(top.filter("outside > 0"), ["band", "key"]).withColumn("most", F.col("root") == F.col("top"))
     draw = F.xxhash64("node", "band")
     dealt = dealt.withColumn("mine", F.when(F.col("most"), F.pmod(draw, F.col("inside"))).otherwise(F.col("inside") + F.pmod(draw, F.col("outside"))))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(F.col("most"), F.col("inside")).otherwise(F.lit(0).cast("long")), F.col("inside") + F.col("outside") - 1)))
-    return _linked(dealt, F.least("mine", "other"), F.greatest("mine", "other"), sure, radius)
+    return _linked(dealt, F.least("mine", "other"), F.greatest("mine", "other"), sure, radius, None)
 
 
 def groups_of(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
@@ -201,14 +221,21 @@ def groups_of(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group:
     member = texts.select("node", "sig", F.posexplode("bands").alias("band", "key"))
     size = cut(member.groupBy("band", "key").count().filter("count > 1"))
     sure, radius = radius_for(similarity, -3.5), radius_for(similarity, 3.0)
-    dealt = member.join(size, ["band", "key"])
     chunk = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("count") / group))
-    edges = cut(_verified(cut(_linked(dealt, chunk, F.lit(0), sure, radius)), keyed, shingle, similarity))
-    roots = components(edges)
+
+    def rooted(sizes: DataFrame) -> DataFrame:
+        return member.join(sizes, ["band", "key"]).join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("v", "node"))
+
+    found = _linked(member.join(size, ["band", "key"]).withColumn("root", F.col("node")), chunk, F.lit(0), sure, radius, FIRST)
+    roots = components(_verified(found, keyed, shingle, similarity))
+    again = cut(size.join(found.filter("u IS NULL").select("band", "key").distinct(), ["band", "key"]))
+    if again.take(1):
+        more = _linked(rooted(again), chunk, F.lit(0), sure, radius, None)
+        roots = components(roots.union(_verified(more, keyed, shingle, similarity)))
     hot = size.filter(F.col("count") > group)
     if hot.take(1):
-        more = _verified(cut(_between(member, hot.select("band", "key"), roots, group, sure, radius)), keyed, shingle, similarity)
-        roots = components(roots.union(more))
+        more = _between(rooted(hot), group, sure, radius)
+        roots = components(roots.union(_verified(more, keyed, shingle, similarity)))
     return marked.select("id", "copy", F.xxhash64("copy").alias("node")).join(roots, F.col("node") == F.col("u"), "left").select("id", "copy", F.coalesce("v", "node").alias("root"))
 
 

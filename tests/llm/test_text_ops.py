@@ -199,6 +199,42 @@ def test_near_text_keeps_one_of_each_group(spark):
     assert keep_one(_docs(spark, [])).count() == 0 and keep_one(_docs(spark, rows)).columns == _docs(spark, []).columns
 
 
+@pytest.mark.parametrize("group", [1024, 16])
+def test_near_text_against_exact_similarity(spark, group):
+    rng = random.Random(4)
+    rows, sets = [], {}
+    for g in range(6):
+        base = [f"w{rng.randrange(500)}" for _ in range(150)]
+        for k in range(40):
+            w = list(base)
+            for _ in range(rng.randrange(1, 5)):  # similarities from 0.6 to 0.95
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10_000)}"
+            i = 100 * g + k
+            rows.append((i, " ".join(w)))
+            sets[i] = {tuple(w[s : s + 5]) for s in range(len(w) - 4)}
+    close = [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    want = _smallest(sorted(sets), close)
+    by_root: dict[int, set[int]] = {}
+    for r in groups_of(_docs(spark, rows), group=group).collect():
+        by_root.setdefault(r["root"], set()).add(r["id"])
+    expected: dict[int, set[int]] = {}
+    for i, low in want.items():
+        expected.setdefault(low, set()).add(i)
+    assert 6 < len(expected) < 200
+    assert sorted(map(sorted, by_root.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (50, 30), (200, 2000)):
+        i, j, far = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 9, m)
+        few = bitslice.forest(n, i, j, far)
+        parts = bitslice.components_of(n, i, j)
+        assert (bitslice.components_of(n, i[few], j[few]) == parts).all() and len(few) == n - len(set(parts.tolist()))
+        light = far <= 4
+        assert (bitslice.components_of(n, i[light], j[light]) == bitslice.components_of(n, i[few][far[few] <= 4], j[few][far[few] <= 4])).all()
+
+
 def _brute(rows, items, window):
     wins = {}
     for item, t in items:
