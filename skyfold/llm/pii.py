@@ -90,13 +90,13 @@ LOOSE = {
         r"|(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]*[0-9])[0-9A-Za-z+/_-]{20,}={0,2}(?![0-9A-Za-z+/_=-])"
     ),
 }
-#: What a text must hold for a loose form to be tried, one of the patterns at least; each starts with a plain class of characters, which is quick to search.
+#: What a text must hold for a loose form to be tried, one of the patterns at least: every match of the form holds one. Each starts with a plain class of characters, which is quick to search.
 NEEDS = {
     "email": (re.compile(r"@|[\[({]\s?at\s?[\])}]", re.I),),
     "ip": (re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),),
     "card": (re.compile(r"[0-9]{4}"),),
     "phone": (re.compile(r"[0-9]{3}[\x20.-]?[0-9]{3,4}"),),
-    "secret": (re.compile(r"[=:][^\s/]{8}"), re.compile(r"[0-9A-Za-z+/_-]{20}")),
+    "secret": (re.compile(r"[=:](?!//)[0-9A-Za-z+/_!#$%&*-]{8}"), re.compile(r"[0-9A-Za-z+/_-]{20}")),
 }
 CONTEXT = {
     "email": re.compile(r"e-?mail|mail|contact|write|correo|courriel|@|kontakt", re.I),

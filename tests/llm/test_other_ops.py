@@ -267,6 +267,31 @@ def test_base_spans_against_the_plain_patterns():
         assert pii._joined(pii.base_spans(text)) == _plain_base(text), text
 
 
+def test_loose_forms_hold_what_they_need():
+    """The searches that decide whether a form is tried at all let every match of the form through, alone in its text."""
+    rng = random.Random(11)
+    secret = "0aZ+/_!#$%&*-"
+    parts = {
+        "email": ["a", "B.9", "@", " @ ", "[at]", " ( at ) ", "{AT}", "x.org", "x-1", ".", " dot ", "[dot]", "co", " "],
+        "ip": ["f", "0", "12ab", ":", "::", "2001:", "g", " "],
+        "card": ["4", "1234", "5678", "-", " ", "12", "x"],
+        "phone": ["+", "00", "49", "(", ")", "030", "1234", "555", "-", ".", " ", "x"],
+        "secret": ["password", "Key", "pass", "=", ":", "/", "//", " ", "a1/b2", *secret, "".join(secret)],
+    }
+    seen = dict.fromkeys(pii.KINDS, 0)
+    texts = {k: ["".join(rng.choices(v, k=rng.randint(3, 14))) for _ in range(20_000)] for k, v in parts.items()}
+    texts["secret"] += ["password=" + "".join(rng.choices(secret, k=rng.randint(8, 24))) for _ in range(2000)] + ["".join(rng.choices(secret, k=30)) for _ in range(2000)]
+    texts["secret"] += ["password=ab/Cd12!xyz", "key:wJalr/XUtnFEMIK7M"]
+    for kind, some in texts.items():
+        for text in some:
+            for m in pii.LOOSE[kind].finditer(text):
+                seen[kind] += 1
+                # what the form looks back at belongs to it
+                assert any(p.search(text[max(0, m.start() - 1) : m.end()]) for p in pii.NEEDS[kind]), (kind, text)
+    assert min(seen.values()) > 50, seen
+    assert [c.kind for c in pii.candidates("my password=ab/Cd12!xyz", [])] == ["secret"]
+
+
 def test_added_spans(spark):
     schema = "doc_id long, text string, base string, more int, pattern string"
     texts = ["é mail me: jane (at) site (dot) org today", "api key: token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" end", "call +1 (974) 555-3436 now", "nothing here at all", None, "", "plain words 12 and 3.4 only", "x@y.zz " * 20_000]
