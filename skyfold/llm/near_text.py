@@ -1,11 +1,12 @@
 """Near-duplicate documents by wide SimHash signatures over word shingles.
 
 Similarity is the Jaccard similarity J of the documents' sets of ``shingle`` words. A SimHash of ``64 * WORDS`` bits estimates it: two
-sets differ in each bit with probability acos(2J / (1 + J)) / pi; the standard error at J = 0.8 is 0.03.
+large sets differ in each bit with probability acos(2J / (1 + J)) / pi; the standard error at J = 0.8 is 0.03. For small sets, where
+counts tie, that probability is summed from the binomials, so that the radius depends on the size of the smaller set.
 
-Candidates share a band of minimum shingle hashes (J = 0.8 shares one with probability 0.998). Inside a band's groups the signatures
-are compared bit-sliced. Pairs well within the radius are links, of which a spanning forest leaves the task; pairs near it are compared on their shingles, each member's ``FIRST``
-nearest ones first. A group that has more of them is looked at again: what is linked by then needs no comparison, and all other pairs are compared. Copies of a text are one member.
+Candidates share a band of minimum shingle hashes (J = 0.8 shares one but for 3 pairs in a million). Inside a band's groups the signatures
+are compared bit-sliced. Pairs well within the radius are links, of which a spanning forest leaves the task; pairs near it, up to ``BEYOND`` deviations
+out, are compared on their shingles, each member's ``FIRST`` nearest ones first. Pairs whose sizes alone rule the similarity out are left out. A group that has more of them is looked at again: what is linked by then needs no comparison, and all other pairs are compared. Copies of a text are one member.
 
 A group of over ``GROUP`` members is dealt over chunks, which are compared within themselves first. What is linked by then needs no further comparison with itself:
 members outside the group's largest component are then compared with all others, chunk by chunk. So a tight group of any size costs in proportion to its size, and no link is lost.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,21 +28,54 @@ from .bitslice import close_pairs, components_of, forest
 from .components import components
 from .spark_util import cut
 
-WORDS, BANDS, ROWS, GROUP = 8, 12, 4, 1024
+WORDS, BANDS, ROWS, GROUP = 8, 24, 4, 1024
 #: Texts near the border that are sent to all tasks as numbers (8 bytes each); more go through a shuffle.
 SENT = 200_000
 #: Pairs near the border for each member of a group in the first round.
 FIRST = 8
+#: Deviations of the distance within which a pair is a link without a look at its shingles, and beyond which it is none.
+WITHIN, BEYOND = 3.5, 5.0
+#: Sets of this size and more count as one: what their differing bits exceed the limit by falls with the size.
+LARGE = 64
 #: Pairs compared in one piece.
 PAIRS = 1 << 21
 _SEEDS = tk.mixed(np.arange(1, 1 + BANDS * ROWS + WORDS, dtype=tk.U) * tk.U(0x9E3779B97F4A7C15))
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float32)
 
 
-def radius_for(similarity: float, deviations: float, bits: int = 64 * WORDS) -> int:
-    """Expected distance at a Jaccard similarity, plus so many standard deviations."""
-    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return max(0, int(bits * p + deviations * math.sqrt(bits * p * (1 - p))))
+def _heads(n: int) -> np.ndarray:
+    """Probabilities of 0 to n heads of n coins."""
+    log = np.r_[0.0, np.cumsum(np.log(np.arange(1, n + 1)))]
+    return np.exp(log[n] - log - log[::-1] - n * math.log(2))
+
+
+def differing(a: int, b: int, common: int) -> float:
+    """Probability that a bit differs between sets of ``a`` and ``b`` shingles, ``common`` of them in both; a tie of the count gives 0."""
+    at = np.arange(common + 1)
+
+    def over(n: int, own: int) -> np.ndarray:
+        below = np.r_[0.0, np.cumsum(_heads(own))]
+        return 1 - below[np.clip(n // 2 - at + 1, 0, own + 1)]
+
+    one, two = over(a, a - common), over(b, b - common)
+    return float(_heads(common) @ (one * (1 - two) + two * (1 - one)))
+
+
+@lru_cache
+def radii(similarity: float, bits: int = 64 * WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Distances by the size of the smaller set, the last for ``LARGE`` and more: those up to which a pair is a link, and beyond which it is none."""
+    sure, reach = np.zeros(LARGE + 1, np.int64), np.zeros(LARGE + 1, np.int64)
+    sure[1:] = bits
+    for n in range(1, LARGE + LARGE // 2):
+        k = min(n, LARGE)
+        for b in range(n, int(n / similarity + 1e-9) + 1):
+            least = math.ceil(similarity * (n + b) / (1 + similarity) - 1e-9)
+            p = differing(n, b, least) if least <= n else 0.0
+            reach[k] = max(reach[k], math.floor(bits * p + BEYOND * math.sqrt(bits * p * (1 - p))))
+            if least > 0:
+                p = differing(n, b, least - 1)
+                sure[k] = min(sure[k], max(0, math.floor(bits * p - WITHIN * math.sqrt(bits * p * (1 - p)))))
+    return np.minimum(sure, reach), reach
 
 
 def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,13 +97,14 @@ def shingles_of(words: tk.Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return _distinct(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
 
-def signatures_of(words: tk.Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures [documents, WORDS] and band keys [documents, BANDS] over distinct shingles; no words give zeros."""
+def signatures_of(words: tk.Words, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures [documents, WORDS] and band keys [documents, BANDS] over distinct shingles, and their number; no words give zeros."""
     n = len(words.first) - 1
     sigs, bands = np.zeros((n, WORDS), tk.U), np.zeros((n, BANDS), tk.U)
     h, doc = shingles_of(words, shingle)
+    sizes = np.bincount(doc, minlength=n)
     if not len(h):
-        return sigs, bands
+        return sigs, bands, sizes
     have, start = np.unique(doc, return_index=True)
     mins = np.stack([np.minimum.reduceat((h ^ s) * (s | tk.U(1)), start) for s in _SEEDS[: BANDS * ROWS]], 1)
     key = np.zeros((len(have), BANDS), tk.U)
@@ -87,7 +123,7 @@ def signatures_of(words: tk.Words, shingle: int) -> tuple[np.ndarray, np.ndarray
                 counts = np.bincount(base + octets[lo:hi, o], minlength=(b - a) << 8).reshape(b - a, 256)
                 bits = (2 * (counts @ _BITS) > total[a:b, None]).astype(np.uint8)
                 sigs[have[a:b], w] |= np.packbits(bits, axis=1, bitorder="little")[:, 0].astype(tk.U) << tk.U(8 * o)
-    return sigs, bands
+    return sigs, bands, sizes
 
 
 def _mark(docs: DataFrame, shingle: int) -> DataFrame:
@@ -96,25 +132,29 @@ def _mark(docs: DataFrame, shingle: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             got = [signatures_of(w, shingle) for w in tk.chunks(batch.column("text"), tk.SPACED, lower=True)]
-            sigs, bands = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy"), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))], ["id", "copy", "sig", "bands"])
+            sigs, bands, sizes = (np.concatenate(x) for x in zip(*got))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy"), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["id", "copy", "sig", "bands", "size"])
 
-    return docs.mapInArrow(of, "id long, copy string, sig binary, bands array<long>")
+    return docs.mapInArrow(of, "id long, copy string, sig binary, bands array<long>, size long")
 
 
-def _compared(sigs: np.ndarray, group: np.ndarray, root: np.ndarray, sure: int, radius: int, first: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Edges i, j and distances, and the groups that have more: a spanning forest of the sure links, and each member's ``first`` nearest of the others (all, if None)
+def _compared(sigs: np.ndarray, group: np.ndarray, root: np.ndarray, size: np.ndarray, similarity: float, first: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges i, j and whether they are sure, and the groups that have more: a spanning forest of the sure links, and each member's ``first`` nearest of the others (all, if None)
     between members that neither ``root`` nor sure links join."""
-    i, j, far = close_pairs(sigs, group, radius)
+    sure, reach = radii(similarity)
+    i, j, far = close_pairs(sigs, group, int(reach[np.minimum(size, LARGE)].max()))
     n = len(sigs)
+    low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    fit = (far <= reach[np.minimum(low, LARGE)]) & (low >= (similarity - 1e-9) * high)
+    i, j, far, close = i[fit], j[fit], far[fit], (far <= sure[np.minimum(low, LARGE)])[fit]
     label = np.unique(root, return_inverse=True)[1]
     label = np.unique(label, return_index=True)[1][label]
     apart = label[i] != label[j]
-    i, j, far = i[apart], j[apart], far[apart]
-    firm = np.flatnonzero(far <= sure)
+    i, j, far, close = i[apart], j[apart], far[apart], close[apart]
+    firm = np.flatnonzero(close)
     firm = firm[forest(n, i[firm], j[firm], far[firm], label)]
     joined = components_of(n, np.r_[i[firm], np.arange(n)], np.r_[j[firm], label])
-    open_ = np.flatnonzero((far > sure) & (joined[i] != joined[j]))
+    open_ = np.flatnonzero(~close & (joined[i] != joined[j]))
     open_ = open_[np.argsort(far[open_], kind="stable")]
     kept = open_
     if first is not None and len(open_):
@@ -127,12 +167,12 @@ def _compared(sigs: np.ndarray, group: np.ndarray, root: np.ndarray, sure: int,
         kept = open_[np.minimum(rank[: len(open_)], rank[len(open_) :]) < first]
     few = np.concatenate([firm, kept])
     left = np.setdiff1d(open_, kept)
-    return i[few], j[few], far[few], np.unique(group[i[left]])
+    return i[few], j[few], close[few], np.unique(group[i[left]])
 
 
-def _edges(batches: Iterator[pa.RecordBatch], sure: int, radius: int, first: int | None) -> Iterator[pa.RecordBatch]:
+def _edges(batches: Iterator[pa.RecordBatch], similarity: float, first: int | None) -> Iterator[pa.RecordBatch]:
     """Rows of a group follow one another; a group that is cut by the end of a batch waits for the next. A group that has more pairs is named in a row without nodes."""
-    keys, ids, sigs = np.zeros((0, 4), np.int64), np.zeros((0, 2), np.int64), np.zeros((0, WORDS), tk.U)
+    keys, ids, sigs = np.zeros((0, 4), np.int64), np.zeros((0, 3), np.int64), np.zeros((0, WORDS), tk.U)
 
     def of(keys: np.ndarray, ids: np.ndarray, sigs: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)]
@@ -142,10 +182,10 @@ def _edges(batches: Iterator[pa.RecordBatch], sure: int, radius: int, first: int
         while at < len(size):
             to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + PAIRS, "right")))
             lo, hi = edge[at], edge[to]
-            i, j, far, more = _compared(sigs[lo:hi], np.repeat(np.arange(to - at), size[at:to]), ids[lo:hi, 1], sure, radius, first)
+            i, j, close, more = _compared(sigs[lo:hi], np.repeat(np.arange(to - at), size[at:to]), ids[lo:hi, 1], ids[lo:hi, 2], similarity, first)
             if len(i):
                 none = pa.nulls(len(i), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi, 0][i]), pa.array(ids[lo:hi, 0][j]), pa.array(far <= sure), none, none], names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi, 0][i]), pa.array(ids[lo:hi, 0][j]), pa.array(close), none, none], names)
             if len(more):
                 none = pa.nulls(len(more), pa.int64())
                 named = keys[edge[at:to]][more]
@@ -157,7 +197,7 @@ def _edges(batches: Iterator[pa.RecordBatch], sure: int, radius: int, first: int
         if not batch.num_rows:
             continue
         keys = np.concatenate([keys, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)], 1)])
-        ids = np.concatenate([ids, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("node", "root")], 1)])
+        ids = np.concatenate([ids, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("node", "root", "size")], 1)])
         data, _ = tk.buffers(batch.column("sig"))
         sigs = np.concatenate([sigs, np.frombuffer(data.tobytes(), tk.U).reshape(-1, WORDS)])
         new = np.flatnonzero((keys[1:] != keys[:-1]).any(1))
@@ -169,11 +209,11 @@ def _edges(batches: Iterator[pa.RecordBatch], sure: int, radius: int, first: int
         yield from of(keys, ids, sigs)
 
 
-def _linked(members: DataFrame, low: Column, high: Column, sure: int, radius: int, first: int | None) -> DataFrame:
-    """u, v and sure for pairs of ``members`` (band, key, node, root, sig) with the same band, key, low and high; band and key alone where there are more than ``first``."""
-    rows = members.select(F.col("band").cast("long").alias("band"), "key", low.cast("long").alias("low"), high.cast("long").alias("high"), "node", "root", "sig")
+def _linked(members: DataFrame, low: Column, high: Column, similarity: float, first: int | None) -> DataFrame:
+    """u, v and sure for pairs of ``members`` (band, key, node, root, size, sig) with the same band, key, low and high; band and key alone where there are more than ``first``."""
+    rows = members.select(F.col("band").cast("long").alias("band"), "key", low.cast("long").alias("low"), high.cast("long").alias("high"), "node", "root", "size", "sig")
     rows = rows.repartition("band", "key", "low", "high").sortWithinPartitions("band", "key", "low", "high")
-    return cut(rows.mapInArrow(lambda it: _edges(it, sure, radius, first), "u long, v long, sure boolean, band long, key long"))
+    return cut(rows.mapInArrow(lambda it: _edges(it, similarity, first), "u long, v long, sure boolean, band long, key long"))
 
 
 def _verified(found: DataFrame, keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -200,7 +240,7 @@ def _verified(found: DataFrame, keyed: DataFrame, shingle: int, similarity: floa
     return found.filter("sure").select("u", "v").union(alike)
 
 
-def _between(rooted: DataFrame, group: int, sure: int, radius: int) -> DataFrame:
+def _between(rooted: DataFrame, group: int, similarity: float) -> DataFrame:
     """Pairs of a hot group of which one at least is outside the group's largest component so far."""
     each = rooted.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
     top = each.groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("t"), F.sum("n").alias("all")).select("band", "key", F.col("t.root").alias("top"), F.ceil(F.col("t.n") / group).alias("inside"), F.ceil((F.col("all") - F.col("t.n")) / group).alias("outside"))
@@ -208,7 +248,7 @@ def _between(rooted: DataFrame, group: int, sure: int, radius: int) -> DataFrame
     draw = F.xxhash64("node", "band")
     dealt = dealt.withColumn("mine", F.when(F.col("most"), F.pmod(draw, F.col("inside"))).otherwise(F.col("inside") + F.pmod(draw, F.col("outside"))))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(F.col("most"), F.col("inside")).otherwise(F.lit(0).cast("long")), F.col("inside") + F.col("outside") - 1)))
-    return _linked(dealt, F.least("mine", "other"), F.greatest("mine", "other"), sure, radius, None)
+    return _linked(dealt, F.least("mine", "other"), F.greatest("mine", "other"), similarity, None)
 
 
 def groups_of(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
@@ -217,24 +257,23 @@ def groups_of(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group:
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.md5(text.cast("binary")).alias("copy"), text.alias("text"))
     marked = cut(_mark(keyed, shingle))
     # one member for each text, named by a number of its own
-    texts = marked.groupBy("copy").agg(F.min("sig").alias("sig"), F.min("bands").alias("bands")).withColumn("node", F.xxhash64("copy"))
-    member = texts.select("node", "sig", F.posexplode("bands").alias("band", "key"))
-    size = cut(member.groupBy("band", "key").count().filter("count > 1"))
-    sure, radius = radius_for(similarity, -3.5), radius_for(similarity, 3.0)
+    texts = marked.groupBy("copy").agg(F.min("sig").alias("sig"), F.min("bands").alias("bands"), F.min("size").alias("size")).withColumn("node", F.xxhash64("copy"))
+    member = texts.select("node", "size", "sig", F.posexplode("bands").alias("band", "key"))
+    sizes = cut(member.groupBy("band", "key").count().filter("count > 1"))
     chunk = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("count") / group))
 
-    def rooted(sizes: DataFrame) -> DataFrame:
-        return member.join(sizes, ["band", "key"]).join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("v", "node"))
+    def rooted(some: DataFrame) -> DataFrame:
+        return member.join(some, ["band", "key"]).join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("v", "node"))
 
-    found = _linked(member.join(size, ["band", "key"]).withColumn("root", F.col("node")), chunk, F.lit(0), sure, radius, FIRST)
+    found = _linked(member.join(sizes, ["band", "key"]).withColumn("root", F.col("node")), chunk, F.lit(0), similarity, FIRST)
     roots = components(_verified(found, keyed, shingle, similarity))
-    again = cut(size.join(found.filter("u IS NULL").select("band", "key").distinct(), ["band", "key"]))
+    again = cut(sizes.join(found.filter("u IS NULL").select("band", "key").distinct(), ["band", "key"]))
     if again.take(1):
-        more = _linked(rooted(again), chunk, F.lit(0), sure, radius, None)
+        more = _linked(rooted(again), chunk, F.lit(0), similarity, None)
         roots = components(roots.union(_verified(more, keyed, shingle, similarity)))
-    hot = size.filter(F.col("count") > group)
+    hot = sizes.filter(F.col("count") > group)
     if hot.take(1):
-        more = _between(rooted(hot), group, sure, radius)
+        more = _between(rooted(hot), group, similarity)
         roots = components(roots.union(_verified(more, keyed, shingle, similarity)))
     return marked.select("id", "copy", F.xxhash64("copy").alias("node")).join(roots, F.col("node") == F.col("u"), "left").select("id", "copy", F.coalesce("v", "node").alias("root"))
 

@@ -224,6 +224,20 @@ def test_near_text_against_exact_similarity(spark, group):
     assert sorted(map(sorted, by_root.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_near_text_of_few_shingles(spark):
+    """Short texts and copies without their last words, right at the similarity and right below it."""
+    rows, linked = [], 0
+    for words, less, many, link in ((9, 1, 200, True), (19, 3, 100, True), (29, 5, 50, True), (8, 1, 100, False), (18, 3, 50, False)):
+        for k in range(many):
+            w = [f"a{len(rows)}b{x}" for x in range(words)]
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[:-less]))]
+        linked += link * many
+    root = {r["id"]: r["root"] for r in groups_of(_docs(spark, rows)).collect()}
+    pairs = [root[i] == root[i + 1] for i in range(0, len(rows), 2)]
+    assert pairs == [True] * linked + [False] * (len(pairs) - linked)
+    assert len(set(root.values())) == len(rows) - linked
+
+
 def test_forest_joins_what_all_pairs_join():
     rng = np.random.default_rng(3)
     for n, m in ((1, 0), (50, 30), (200, 2000)):
