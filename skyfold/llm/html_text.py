@@ -25,6 +25,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that may stand in a head; any other ends it, as its end tag is optional.
+IN_HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template head".split())
 #: Start tags that close an open paragraph, list item or cell.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words of class, id and role that mark what is no article.
@@ -85,6 +87,8 @@ class Lines(HTMLParser):
         self.tags = self.link = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "body" or tag not in IN_HEAD and self.stack and self.stack[-1][0] == "head":
+            self._leave_head()
         if tag in BLOCKS:
             self.flush()
             if tag in BLOCKS and self.stack and self.stack[-1][0] == "p":
@@ -121,6 +125,14 @@ class Lines(HTMLParser):
                 return None
         return None
 
+    def _leave_head(self) -> None:
+        """End an open head, whatever is open in it."""
+        for i, (tag, _, _) in enumerate(self.stack):
+            if tag == "head":
+                self.flush()
+                return self._pop(i)
+        return None
+
     def _pop_to(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
@@ -147,6 +159,8 @@ class Lines(HTMLParser):
         return None
 
     def handle_data(self, data: str) -> None:
+        if self.noise and self.stack[-1:] and self.stack[-1][0] == "head" and data.strip():
+            self._leave_head()
         if not self.noise:
             self.text.append(data)
             if self.links:

@@ -187,6 +187,21 @@ def test_main_text(page):
     assert extract(page) == WANT
 
 
+@pytest.mark.parametrize(
+    "head",
+    [
+        "<html><head><title>T</title><meta charset=utf-8><link rel=x href=y><script>var x='<body>';</script><body>",
+        "<html><head><title>T</title><style>p{}</style>",
+        "<head><noscript><img src=x></noscript><title>T</title><body class=x>",
+        "<head><title>T</title></head><body>",
+    ],
+)
+def test_a_head_ends_without_its_end_tag(head):
+    assert extract(f"{head}<article>{ARTICLE}</article><footer>foot</footer>") == WANT
+    assert extract(f"{head}<div>{ARTICLE}</div>") == WANT
+    assert extract(f"{head}just text here") == "just text here"
+
+
 def test_pages_without_tags_or_text():
     assert extract(None) == extract("") == extract("<html></html>") == ""
     assert extract("just text &eacute; here") == "just text é here"
