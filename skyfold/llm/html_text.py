@@ -248,7 +248,14 @@ def main_text(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
     return pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(of, f"page_id {kind}, url string, text string, n_chars long")
 
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*+>"""
+#: A head goes up to its end tag or the first thing that may not stand in it. Only comments, scripts and styles go to the end of a page that does not close them.
+_DROP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(noscript|template)\b[^>]*>.*?</\2\s*>"
+    r"|<head(?=[\s/>])[^>]*>(?:\s++|<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\3\s*>|\Z)|<(title|noscript|noframes|template)\b[^>]*>.*?</\4\s*>"
+    r"|<(?:meta|link|base|basefont|bgsound)\b(?:" + _ATTRS + r"|[^>]*>)|</(?!(?:head|body|html|br)\b)[a-z][^>]*>|<[!?][^>]*>)*+(?:</head\s*>)?",
+    re.S | re.I,
+)
 _BREAK = re.compile(r"</?(?:" + "|".join(sorted(BLOCKS)) + r")\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^<>]*(?:>|\Z)")
 

@@ -250,6 +250,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert plain_text("<script>x</script>a<br>b") == "a b" or plain_text("<script>x</script>a<br>b") == "ab"
 
 
+@pytest.mark.parametrize(
+    "head",
+    [
+        "<html><head><title>T</title><meta name=d content='a > b'>\n<script>var x='<body></head>';</script><body>",
+        "<html><head><title>T</title><style>p{}</style>",
+        "<head><!-- <body> --><noscript><img src=x></noscript><title>T</title><body class=x>",
+        "<head lang=en><title>T</title></meta></head><body>",
+        "<HEAD><TITLE>T</TITLE></HEAD ><header></header>",
+        "<head>",
+    ],
+)
+def test_plain_text_of_a_head_without_its_end_tag(head):
+    assert plain_text(f"{head}<h1>Title</h1><p>Some text.</p>") == "Title\nSome text."
+    assert plain_text(f"{head}Some text<p>and more") == "Some text\nand more"
+    page = warc.response("http://a.example/", f"{head}<p>x".encode(), "2024-01-01T00:00:00Z", "7")
+    assert warc.derivatives(page)[0].block == b"x"
+
+
 # -- personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
