@@ -56,6 +56,12 @@ def test_recall_against_brute_force(spark, unit):
     assert hit / (75 * 20) >= 0.9
 
 
+def test_the_search_stops_at_the_documented_confidence():
+    import inspect
+
+    assert inspect.signature(nearest).parameters["confidence"].default == 0.97
+
+
 def test_copies_of_a_vector_tie_by_id(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(900, 8)).astype(np.float32)
