@@ -2,8 +2,9 @@
 
 The standard library's streaming parser turns a page into lines, one for each block. A line knows its characters, the tags met in it, the
 share of its text in links, and the containers around it. The ratios of text to tags are smoothed over neighbouring lines with a Gaussian kernel, and the lines are
-parted into two clusters by a threshold that two-means finds on the logarithm of the ratio. Containers that never hold an article (menus, adverts, forms, comments
-and so on) are left out before; where a page marks its article, the marked part is the region and its short lines stay with it.
+parted into two clusters by a threshold that two-means finds on the logarithm of the ratio. The region is the container in which the lines of the upper cluster lie, with all its lines.
+Marks of an article multiply the ratios of the lines in it, so that text without marks has to be denser to win. Containers that never hold an article (menus, adverts, forms, comments
+and so on) have a ratio of zero.
 """
 
 from __future__ import annotations
@@ -29,6 +30,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 IN_HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template head".split())
 #: Start tags that close an open paragraph, list item or cell.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that hide an open item or cell from a start tag, those that an inline end tag does not reach beyond, and those whose text is not shown.
+SHIELDS = frozenset("ul ol dl table select div article section nav".split())
+WALLS = frozenset("article main body nav footer".split())
+UNSEEN = frozenset("script style noscript template head title".split())
+#: Containers that may be the region.
+REGIONS = frozenset("html body main article section div center details table tbody tr td".split())
+HIDDEN = re.compile(r"display\s*:\s*none")
+#: Weight of a line's ratio without marks, in a marked region, and in a marked article.
+WEIGHTS = (1.0, 4.0, 16.0)
+#: Share of the text above the threshold that the region holds; links in a row that are a menu.
+HOLDS, MENU = 0.8, 3
 #: Words of class, id and role that mark what is no article.
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adsby\w*|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|sidebar\w*|side|aside|widget\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|newsletter|subscribe|signup|login|share\w*|sharing|social\w*|related|recommend\w*|comments?(?:list|area|box|section|thread|form|body|text)?|replies|reply|disqus|respond|pagination|pager|search\w*|copyright|legal|skip|toolbar|tags?cloud|complementary|contentinfo|navigation|dialog)(?:$|[\s_-])",
@@ -67,33 +79,64 @@ def _role(tag: str, names: list[str]) -> tuple[bool, int]:
 
 
 class Lines(HTMLParser):
-    """Collects the lines of a page from parser events."""
+    """Collects the lines of a page from parser events, and the containers that they lie in.
+
+    No markup raises, and each event takes the same time at any depth: open elements of a tag are found by their places on the stack.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, no article, article (2) or region (1)
-        self.out: list[tuple[str, int, int, int, bool]] = []  # text, tags, link characters, inside an article (2) or a region (1), heading
+        self.stack: list[tuple[str, bool, int]] = []  # tag, no article, container before
+        self.places: dict[str, list[int]] = {}
+        self.out: list[tuple[str, int, int, int, bool]] = []  # text (empty: a line that is no article), tags, link characters, container, heading
+        self.above, self.level = [0], [0]  # of each container: the one around it, and its mark
+        self.inside = 0
         self.text: list[str] = []
-        self.tags = self.link = self.links = 0
-        self.noise = self.article = self.region = 0
-        self.heading = False
+        self.tags = self.link = self.links = self.noise = self.marked = 0
+        self.heading = self.hidden = False
 
     def flush(self) -> None:
         if self.text:
             line = SPACE.sub(" ", "".join(self.text)).strip()
-            if line and not self.noise:
-                self.out.append((line, self.tags, self.link, 2 if self.article else int(self.region > 0), self.heading))
+            if line:
+                self.out.append((line, self.tags, self.link, self.inside, self.heading))
             self.text.clear()
+        elif self.hidden:
+            self.out.append(("", self.tags, 0, self.inside, False))
         self.tags = self.link = 0
+        self.hidden = False
+
+    def _last(self, tags: tuple[str, ...] | frozenset) -> int:
+        """Place of the innermost open element among ``tags``, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def _pop(self, i: int) -> None:
+        for tag, noise, before in reversed(self.stack[i:]):
+            self.places[tag].pop()
+            self.noise -= noise
+            self.marked -= before >= 0 and self.level[self.inside] > 0
+            self.links -= tag == "a"
+            if before >= 0:
+                self.inside = before
+        del self.stack[i:]
+
+    def _leave_head(self) -> None:
+        """End an open head, whatever is open in it."""
+        if self.places.get("head"):
+            self.flush()
+            self._pop(self.places["head"][0])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "body" or tag not in IN_HEAD and self.stack and self.stack[-1][0] == "head":
             self._leave_head()
         if tag in BLOCKS:
             self.flush()
-            if tag in BLOCKS and self.stack and self.stack[-1][0] == "p":
-                self._pop_to("p")
-            self._close(CLOSES.get(tag, ()))
+            if self.stack and self.stack[-1][0] == "p":
+                self._pop(len(self.stack) - 1)
+            if tag in CLOSES:
+                at = self._last(CLOSES[tag])
+                if at > self._last(SHIELDS):
+                    self._pop(at)
             self.heading = tag in HEADINGS
         elif tag == "br":
             self.text.append(" ")
@@ -101,70 +144,55 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         marked, level = _role(tag, [x for k, v in attrs if v and k in ("class", "id", "role", "itemprop") for x in v.split()])
-        noise = marked or tag in DROPPED or (tag == "header" and not self.article and not self.region) or any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v)) for k, v in attrs)
+        noise = marked or tag in DROPPED or (tag == "header" and not self.marked) or any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and HIDDEN.search(v)) for k, v in attrs)
         if noise and not self.noise:
             self.flush()
+        before = -1
+        if tag in REGIONS or level:
+            before = self.inside
+            self.above.append(before)
+            self.level.append(level)
+            self.inside = len(self.above) - 1
+            self.marked += level > 0
         self.noise += noise
-        self.article += level == 2
-        self.region += level == 1
         self.links += tag == "a"
-        self.stack.append((tag, noise, level))
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, noise, before))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.stack and self.stack[-1][0] == tag and tag not in ("p", "div", "article", "main", "section", "span", "b", "i", "a"):
             self.handle_endtag(tag)
 
-    def _close(self, tags: frozenset | set | tuple) -> None:
-        """Close an open tag among ``tags`` that no list or table hides."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[i][0]
-            if tag in tags:
-                return self._pop(i)
-            if tag in ("ul", "ol", "dl", "table", "select", "div", "article", "section", "nav"):
-                return None
-        return None
-
-    def _leave_head(self) -> None:
-        """End an open head, whatever is open in it."""
-        for i, (tag, _, _) in enumerate(self.stack):
-            if tag == "head":
-                self.flush()
-                return self._pop(i)
-        return None
-
-    def _pop_to(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                return self._pop(i)
-        return None
-
-    def _pop(self, i: int) -> None:
-        for tag, noise, level in self.stack[i:]:
-            self.noise -= noise
-            self.article -= level == 2
-            self.region -= level == 1
-            self.links -= tag == "a"
-        del self.stack[i:]
-
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                if tag in BLOCKS or any(x[1] for x in self.stack[i:]) or self.stack[i][2]:
-                    self.flush()
-                return self._pop(i)
-            if tag not in BLOCKS and self.stack[i][0] in ("article", "main", "body", "nav", "footer"):
-                return None
-        return None
+        at = self._last((tag,))
+        if at < 0 or tag not in BLOCKS and at < self._last(WALLS):
+            return
+        if tag in BLOCKS or any(noise or before >= 0 for _, noise, before in self.stack[at:]):
+            self.flush()
+        self._pop(at)
 
     def handle_data(self, data: str) -> None:
-        if self.noise and self.stack[-1:] and self.stack[-1][0] == "head" and data.strip():
+        if self.noise and self.stack and self.stack[-1][0] == "head" and data.strip():
             self._leave_head()
         if not self.noise:
             self.text.append(data)
             if self.links:
                 self.link += len(data.strip())
+        elif not self.hidden and self.stack[-1][0] not in UNSEEN:
+            self.hidden = bool(data.strip())
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![...`` is no markup of a page and ends at the next ``>``."""
+        return self.parse_bogus_comment(i)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """A comment without an end goes to the end of the page."""
+        if self.rawdata.startswith((">", "->"), i + 4):
+            return self.rawdata.index(">", i) + 1
+        end = self.rawdata.find("-->", i + 4)
+        return end + 3 if end >= 0 else len(self.rawdata)
 
 
 def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -191,45 +219,98 @@ def threshold(ratios: np.ndarray) -> float:
     return float(np.expm1((low + high) / 2))
 
 
-def content(lines: list[tuple[str, int, int, int, bool]], sigma: float = 1.0) -> list[str]:
-    """The lines of the content region, in page order."""
-    if not lines:
+def region(lines: list[tuple[str, int, int, int, bool]], chosen: np.ndarray, above: list[int], level: list[int]) -> int:
+    """The container that holds ``HOLDS`` of the chosen lines' text: a marked article or else a marked region, if one does, else the innermost container."""
+    mass = np.zeros(len(above))
+    np.add.at(mass, [x[3] for x in lines], [len(x[0]) * c for x, c in zip(lines, chosen)])
+    for c in range(len(above) - 1, 0, -1):
+        mass[above[c]] += mass[c]
+    enough = HOLDS * mass[0]
+    for wanted in (2, 1):
+        held = [c for c in range(len(above)) if level[c] == wanted and mass[c] >= enough]
+        if held:
+            return held[0]
+    at = 0
+    for c in range(1, len(above)):  # inner containers come after those around them
+        if above[c] == at and mass[c] >= enough:
+            at = c
+    return at
+
+
+def content(lines: list[tuple[str, int, int, int, bool]], above: list[int], level: list[int], sigma: float = 1.0) -> list[str]:
+    """The lines of the content region, in page order.
+
+    The ratios, times the weight of the marks around them, are smoothed and parted by a threshold; the region is where the lines above it lie. In a marked region
+    only runs of links go; elsewhere the region reaches from its first to its last line above the threshold, with the headings right before.
+    """
+    if not any(x[0] for x in lines):
         return []
-    within = [sum(len(x[0]) for x in lines if x[3] >= level) for level in (1, 2)]
-    marked = 2 if within[1] and 2 * within[1] >= within[0] else 1 if within[0] else 0
-    if marked:
-        lines = [x for x in lines if x[3] >= marked]
+    mark = list(level)
+    for c in range(1, len(above)):
+        mark[c] = max(mark[c], mark[above[c]])
     size = np.array([len(x[0]) for x in lines], float)
-    link = np.minimum(1, np.array([x[2] for x in lines]) / size)
-    ratio = smoothed(size * (1 - link) / np.maximum(1, [x[1] for x in lines]), sigma)
-    if marked:
-        # the page names its article: only runs of pure links are cut from it
-        keep = (link < 0.9) | (size > 200)
-        return [x[0] for x, k in zip(lines, keep) if k]
-    keep = ratio >= threshold(ratio)
-    rich = np.flatnonzero(keep & (link < 0.5))
-    if not len(rich):
-        return []
-    # a heading or a short line between or right above content lines belongs to the region
-    for i, x in enumerate(lines):
-        if not keep[i] and link[i] < 0.5 and (x[4] or rich[0] < i < rich[-1]) and i < rich[-1]:
-            keep[i] = True
-    keep &= link < 0.5
+    link = np.minimum(1, np.array([x[2] for x in lines]) / np.maximum(size, 1))
+    weight = np.array([WEIGHTS[mark[x[3]]] for x in lines])
+    ratio = smoothed(weight * size * (1 - link) / np.maximum(1, [x[1] for x in lines]), sigma)
+    chosen = (ratio >= threshold(ratio)) & (size > 0)
+    home = region(lines, chosen * weight, above, level)
+    within = [c == home for c in range(len(above))]
+    for c in range(home + 1, len(above)):
+        within[c] = within[c] or within[above[c]]
+    own = np.array([within[x[3]] for x in lines]) & (size > 0)
+    if level[home]:
+        keep = own & ~_menus(own, link, size)
+    else:
+        rich = np.flatnonzero(own & chosen & (link < 0.5))
+        if not len(rich):
+            return []
+        first = int(rich[0])
+        while first and lines[first - 1][4] and size[first - 1]:
+            first -= 1
+        at = np.arange(len(lines))
+        keep = (own & (link < 0.5) & (at >= first) & (at <= rich[-1])) | ((at >= first) & (at < rich[0]))
+        keep |= own & np.array([mark[x[3]] == 2 for x in lines])
     return [x[0] for x, k in zip(lines, keep) if k]
 
 
-_UNCLOSED = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
+def _menus(own: np.ndarray, link: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of ``MENU`` and more short lines that are nothing but links."""
+    pure = own & (link >= 0.9) & (size <= 200)
+    edge = np.flatnonzero(np.diff(np.r_[False, pure, False].astype(np.int8)))
+    out = np.zeros(len(own), bool)
+    for a, b in zip(edge[::2], edge[1::2]):
+        out[a:b] = b - a >= MENU
+    return out
 
 
-def extract(html: str | None, sigma: float = 1.0) -> str:
-    """The main text of one page; a page that ends inside a tag loses that tag only."""
-    if not html:
-        return ""
+_TAG_START = re.compile(r"<[a-zA-Z/!?]")
+#: Numbers with zeros in front, and those of more digits than any character has.
+_ZEROS = re.compile(r"(&#[xX]?)0{5,}(?=[0-9a-fA-F])")
+_LONG_REF = re.compile(r"&#(?:0*+[1-9][0-9]{7,}|[xX]0*+[1-9a-fA-F][0-9a-fA-F]{6,});?")
+
+
+def sound(html: str) -> str:
+    """The page without a tag that it ends in, and without numbers that stand for no character."""
+    cut_at = _TAG_START.search(html, html.rfind(">") + 1)
+    if cut_at and not html.startswith("<!--", cut_at.start()):
+        html = html[: cut_at.start()]
+    return _LONG_REF.sub("\ufffd", _ZEROS.sub(r"\g<1>0", html)) if "&#" in html else html
+
+
+def parsed(html: str | None) -> Lines:
+    """The lines of one page; a page that ends inside a tag loses that tag only."""
     page = Lines()
-    page.feed(_UNCLOSED.sub("", html) if html.rfind("<") > html.rfind(">") else html)
-    page.close()
-    page.flush()
-    return "\n".join(content(page.out, sigma))
+    if html:
+        page.feed(sound(html))
+        page.close()
+        page.flush()
+    return page
+
+
+def extract(html: str | None, sigma: float = 1.0) -> str:
+    """The main text of one page."""
+    page = parsed(html)
+    return "\n".join(content(page.out, page.above, page.level, sigma))
 
 
 def main_text(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
