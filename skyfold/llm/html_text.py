@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html import unescape
 from html.parser import HTMLParser
 
@@ -329,21 +330,115 @@ def main_text(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
     return pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(of, f"page_id {kind}, url string, text string, n_chars long")
 
 
-_ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*+>"""
-#: A head goes up to its end tag or the first thing that may not stand in it. Only comments, scripts and styles go to the end of a page that does not close them.
-_DROP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(noscript|template)\b[^>]*>.*?</\2\s*>"
-    r"|<head(?=[\s/>])[^>]*>(?:\s++|<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\3\s*>|\Z)|<(title|noscript|noframes|template)\b[^>]*>.*?</\4\s*>"
-    r"|<(?:meta|link|base|basefont|bgsound)\b(?:" + _ATTRS + r"|[^>]*>)|</(?!(?:head|body|html|br)\b)[a-z][^>]*>|<[!?][^>]*>)*+(?:</head\s*>)?",
-    re.S | re.I,
+#: A comment, an end or start tag, or a declaration; each alternative goes to the end of the page at worst and succeeds there, so a page is cut in one pass.
+_TOKEN = re.compile(
+    r"<!--(?:>|->|.*?(?:-->|\Z))|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=[\s>]|\Z)|(?P<broken>[\"'].*)))*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
+    re.S,
 )
-_BREAK = re.compile(r"</?(?:" + "|".join(sorted(BLOCKS)) + r")\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*(?:>|\Z)")
+_ATTR = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
+#: Elements whose content is no text of the page, up to their end tag; without one, scripts and styles go to the end of the page, the others have no content.
+_SKIPPED = frozenset("script style noscript template".split())
+_LINKING = frozenset("a area link".split())
+
+
+@dataclass
+class Plain:
+    """What one pass over a page finds: visible text (one line for each block), targets of links as written, title, language."""
+
+    text: str = ""
+    links: list[str] = field(default_factory=list)
+    title: str = ""
+    language: str = ""
+
+
+def _attribute(attrs: str, name: str) -> str | None:
+    for m in _ATTR.finditer(attrs):
+        if m[1].lower() == name:
+            return unescape(m[2] or m[3] or m[4] or "")
+    return None
+
+
+def plain(html: str | None) -> Plain:
+    """Text, links, title and language of a page in one pass.
+
+    A head goes up to its end tag or the first thing that may not stand in it. Comments, scripts and styles that are not closed go to the end of the page, as does an attribute whose quote is not closed.
+    """
+    out = Plain()
+    if not html:
+        return out
+    html = html.replace("\n", " ")
+    if "&#" in html:
+        html = _LONG_REF.sub("\ufffd", _ZEROS.sub(r"\g<1>0", html))
+    pieces: list[str] = []
+    at, in_head, title = 0, False, -1
+    ends: dict[str, int] = {}  # where the next end tag of an element is
+    low = ""
+
+    def end_of(tag: str) -> int:
+        """Place of the next end tag, or the end of the page; looked for once for each end tag that there is."""
+        nonlocal low
+        if ends.get(tag, -1) < at:
+            low = low or html.lower()
+            found = low.find(f"</{tag}", at)
+            ends[tag] = found if found >= 0 else len(html)
+        return ends[tag]
+
+    while True:
+        m = _TOKEN.search(html, at)
+        stop = m.start() if m else len(html)
+        if stop > at:
+            chunk = html[at:stop]
+            if title >= 0:
+                out.title += chunk
+            elif in_head and chunk.strip():
+                in_head = False
+            if title < 0 and not in_head:
+                pieces.append(chunk)
+        if not m:
+            break
+        at = m.end()
+        tag, closing = (m["name"] or "").lower(), bool(m["end"])
+        if not tag:
+            if m[0].startswith("<!--") and not in_head:
+                pieces.append(" ")
+            continue
+        attrs = m["attrs"]
+        if title >= 0:
+            if tag == "title" and closing:
+                title = -1
+            else:
+                out.title += m[0]
+            continue
+        if not closing:
+            if tag in _LINKING and "=" in attrs:
+                href = _attribute(attrs, "href")
+                if href is not None:
+                    out.links.append(href)
+            elif tag == "html" and not out.language:
+                lang = re.match(r"[A-Za-z-]+", _attribute(attrs, "lang") or "")
+                out.language = lang[0] if lang else ""
+        if tag == "head":
+            in_head = not closing
+            continue
+        if in_head and (tag not in IN_HEAD or tag in BLOCKS):
+            in_head = closing and tag not in ("body", "html", "br")
+        if tag == "title" and not closing and not out.title:
+            if end_of(tag) < len(html):
+                title = at
+            continue
+        if tag in _SKIPPED and not closing:
+            if end_of(tag) < len(html) or tag in RAW:
+                if not in_head:
+                    pieces.append(" ")
+                at = ends[tag]
+            continue
+        if not in_head and tag in BLOCKS:
+            pieces.append("\n")
+    out.text = "\n".join(x for x in (SPACE.sub(" ", line).strip() for line in unescape("".join(pieces)).split("\n")) if x)
+    out.title = SPACE.sub(" ", unescape(out.title)).strip()
+    return out
 
 
 def plain_text(html: str | None) -> str:
     """All visible text of a page, one line for each block, without markup, scripts and styles."""
-    if not html:
-        return ""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", html.replace("\n", " "))))
-    return "\n".join(x for x in (SPACE.sub(" ", line).strip() for line in unescape(text).split("\n")) if x)
+    return plain(html).text

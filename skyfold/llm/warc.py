@@ -14,23 +14,19 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from html import unescape
 from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .html_text import plain_text
+from .html_text import plain
 
 VERSION = b"WARC/1.1"
 CRLF = b"\r\n"
 #: Response headers that derivatives carry on.
 CARRIED = ("content-type", "last-modified", "etag", "content-language")
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-HREF = re.compile(r"<(?:a|area|link)\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 
 
 @dataclass
@@ -119,15 +115,18 @@ def decoded(body: bytes, headers: dict[str, str]) -> str:
         return body.decode("utf-8", "replace")
 
 
-def links_of(html: str, base: str) -> list[str]:
-    """Targets of links, absolute, in page order, each once."""
-    out = []
-    for m in HREF.finditer(html):
+def absolute(links: list[str], base: str) -> list[str]:
+    """Links as absolute addresses, in page order, each once; scripts and mail addresses are left out."""
+    out: dict[str, None] = {}
+    for x in links:
+        x = x.strip()
+        if x.lower().startswith(("javascript:", "mailto:")):
+            continue
         try:
-            out.append(urljoin(base, unescape(m[1] or m[2] or m[3] or "").strip()))
+            out[urljoin(base, x)] = None
         except ValueError:
             continue
-    return list(dict.fromkeys(x for x in out if not x.lower().startswith(("javascript:", "mailto:"))))
+    return list(out)
 
 
 def derivatives(source: Record) -> list[Record]:
@@ -137,14 +136,13 @@ def derivatives(source: Record) -> list[Record]:
     headers, body = http_parts(source.block)
     html, uri, date, own = decoded(body, headers), source.get("WARC-Target-URI") or "", source.get("WARC-Date") or "", source.get("WARC-Record-ID") or ""
     payload, block = source.get("WARC-Payload-Digest") or digest(body), source.get("WARC-Block-Digest") or digest(source.block)
-    text = plain_text(html).encode()
+    page = plain(html)
+    text = page.text.encode("utf-8", "replace")
     refers = [("WARC-Refers-To", own), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Source-Payload-Digest", payload), ("WARC-Source-Block-Digest", block)]
     carried = [(f"WARC-Source-{k.title()}", headers[k]) for k in CARRIED if k in headers]
     ids = {kind: record_id(kind, own) for kind in ("conversion", "metadata")}
-    title = TITLE.search(html)
-    lang = LANG.search(html)
-    links = links_of(html, uri)
-    facts = [("title", re.sub(r"\s+", " ", unescape(title[1])).strip() if title else ""), ("language", lang[1] if lang else ""), ("html-bytes", str(len(body))), ("text-bytes", str(len(text))), ("conversion", ids["conversion"]), *(("outlink", x) for x in links)]
+    links = absolute(page.links, uri)
+    facts = [("title", page.title), ("language", page.language), ("html-bytes", str(len(body))), ("text-bytes", str(len(text))), ("conversion", ids["conversion"]), *(("outlink", x) for x in links)]
     fields = b"".join(f"{k}: {re.sub(r'[\r\n]+', ' ', v)}".encode() + CRLF for k, v in facts)
     out = []
     for kind, content_type, data in (("conversion", "text/plain; charset=utf-8", text), ("metadata", "application/warc-fields", fields)):
