@@ -1,8 +1,9 @@
 """Benchmark decontamination with suffix arrays over shards of the training texts.
 
-A shard is some 300,000 words of whole documents. Its suffixes are put into a suffix array (prefix doubling on word ranks), every suffix of every
-test item is binary-searched in it, which gives the longest verbatim match and the places of each test window. Words that no test item
-holds end a match, so suffixes that meet one before the shortest window is full can't match and are left out of the array.
+A shard is some 300,000 words of whole documents. Its suffixes are put into a suffix array (prefix doubling on word ranks), and the windows of all test suffixes, each
+distinct one once, are binary-searched in it, which gives their places. Words that no test item holds end a match, so suffixes that meet one before the shortest window is full can't match
+and are left out of the array. What was found is put into one more suffix array together with the test suffixes that it matched, whole length: the longest
+verbatim match of a place is the one with its nearest test suffix above or below. A place counts once for each window length, however often the test items hold its window.
 
 The test items are searched in blocks: as many rounds as it takes for each block to stay below ``block_bytes``, which bounds what
 is sent to the executors. Training texts are never shuffled.
@@ -27,81 +28,143 @@ BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 2 << 20
 
 
+def _slots(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, .. for each i, ``size[i]`` of them."""
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+
+
 @dataclass
-class TestBlock:
-    """Test items as word ids 1.. of their own vocabulary: tokens, item bounds, and the windows to look for."""
+class ItemBlock:
+    """Test items as word ids 1.. of their own vocabulary: tokens, and the distinct windows to look for.
+
+    ``place`` and ``length``: where a distinct window stands first, and its words. ``window_of``: the distinct window at each token, or -1. ``holders[first[w]:first[w + 1]]``: the items that hold window w.
+    """
 
     vocabulary: np.ndarray
     tokens: np.ndarray
     item_of: np.ndarray
     items: list[str]
-    queries: np.ndarray
-    lengths: np.ndarray
-    rest: np.ndarray
+    place: np.ndarray
+    length: np.ndarray
+    window_of: np.ndarray
+    first: np.ndarray
+    holders: np.ndarray
 
     @staticmethod
-    def of(rows: list[tuple[str, str]], window: int) -> TestBlock:
+    def of(rows: list[tuple[str, str]], window: int) -> ItemBlock:
         """``rows``: (item id as a string, text)."""
         texts = pa.array([t for _, t in rows], pa.string())
         parts = list(tk.chunks(texts, tk.ALNUM, lower=True))
         hashes = np.concatenate([np.zeros(0, tk.U), *(tk.word_hashes(w) for w in parts)])
         counts = np.concatenate([np.zeros(0, np.int64), *(np.diff(w.first) for w in parts)])
         vocabulary, tokens = np.unique(hashes, return_inverse=True)
+        tokens = tokens.astype(np.int64) + 1
         item_of = np.repeat(np.arange(len(counts)), counts)
-        start = np.cumsum(counts) - counts
-        rest = np.repeat(start + counts, counts) - np.arange(len(hashes))
+        rest = np.repeat(np.cumsum(counts), counts) - np.arange(len(hashes))
         lengths = np.minimum(counts[item_of], window) if len(counts) else np.zeros(0, np.int64)
-        queries = np.flatnonzero(rest >= lengths)
-        return TestBlock(vocabulary, tokens.astype(np.int64) + 1, item_of, [i for i, _ in rows], queries, lengths, rest)
-
-
-def suffix_array(tokens: np.ndarray, keep: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in ``keep``, ordered by the ``depth`` tokens at least that follow them (0 ends a text and is smallest)."""
+        window_of, place, length = np.full(len(tokens), -1), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n in np.unique(lengths):
+            at = np.flatnonzero((lengths == n) & (rest >= n))
+            words = np.ascontiguousarray(tokens[at[:, None] + np.arange(n)].astype(np.int32))
+            _, one, which = np.unique(words.view(np.dtype((np.void, 4 * int(n))))[:, 0], return_index=True, return_inverse=True)
+            window_of[at] = sum(map(len, place)) + which
+            place.append(at[one])
+            length.append(np.full(len(one), n))
+        place, length = np.concatenate(place), np.concatenate(length)
+        held = np.flatnonzero(window_of >= 0)
+        pairs = np.unique(window_of[held] * max(1, len(rows)) + item_of[held])
+        first = np.searchsorted(pairs, np.arange(len(place) + 1) * max(1, len(rows)))
+        return ItemBlock(vocabulary, tokens, item_of, [i for i, _ in rows], place, length, window_of, first, pairs % max(1, len(rows)))
+
+
+def doubled(tokens: np.ndarray, depth: int) -> Iterator[np.ndarray]:
+    """Ranks of all suffixes by their first 1, 2, 4 .. words, until those are ``depth`` at least; a 0 ends a text, has rank 0, and so has the place after the last."""
     n = len(tokens)
     rank = np.zeros(n + 1, np.int64)
     rank[:n] = tokens
     width = 1
-    while True:
-        # ranks of all suffixes that some kept suffix can run into; others are 0 already after their first 0
-        if width >= depth:
-            return keep[np.lexsort((keep, rank[keep]))]
-        live = np.flatnonzero(rank[:n])
+    yield rank
+    live = np.flatnonzero(tokens)
+    while width < depth and len(live):
         key = (rank[live] << 32) | rank[np.minimum(live + width, n)]
         order = np.argsort(key, kind="stable")
         sorted_key = key[order]
-        new = np.zeros(n + 1, np.int64)
-        new[live[order]] = np.cumsum(np.r_[True, sorted_key[1:] != sorted_key[:-1]]) if len(live) else []
-        rank, width = new, width * 2
+        rank, width = np.zeros(n + 1, np.int64), 2 * width
+        rank[live[order]] = np.cumsum(np.r_[True, sorted_key[1:] != sorted_key[:-1]])
+        yield rank
+
+
+def suffix_array(tokens: np.ndarray, keep: np.ndarray, depth: int) -> np.ndarray:
+    """Positions in ``keep``, ordered by the ``depth`` tokens at least that follow them."""
+    for rank in doubled(tokens, depth):
+        pass
+    return keep[np.lexsort((keep, rank[keep]))]
+
+
+def _room(tokens: np.ndarray) -> np.ndarray:
+    """Words from each place on up to the next 0."""
+    zero = np.r_[np.flatnonzero(tokens == 0), len(tokens)]
+    return zero[np.searchsorted(zero, np.arange(len(tokens)))] - np.arange(len(tokens))
+
+
+def _stretches(tokens: np.ndarray, part: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The covered places and the tokens there, a 0 after each stretch; stretches do not go from one ``part`` to the next. A 0 has place -1."""
+    at = np.flatnonzero(covered)
+    gap = np.r_[(at[1:] != at[:-1] + 1) | (part[at[1:]] != part[at[:-1]]), True] if len(at) else np.zeros(0, bool)
+    where = np.arange(len(at)) + np.r_[0, np.cumsum(gap)[:-1]] if len(at) else at
+    text, origin = np.zeros(len(at) + int(gap.sum()), np.int64), np.full(len(at) + int(gap.sum()), -1)
+    text[where], origin[where] = tokens[at], at
+    return text, origin
+
+
+def longest_matches(text: np.ndarray, test: np.ndarray) -> np.ndarray:
+    """For each place of ``text`` the words that agree with some place of ``test``; a 0 ends a match.
+
+    One suffix array over both: of all test suffixes, the nearest above and below a place share most words with it. Words in common are read from the ranks, longest steps first.
+    """
+    both = np.concatenate([text, [0], test, [0]])
+    room = _room(both)
+    levels = [r.astype(np.int32) for r in doubled(both, int(room.max(initial=1)))]
+    order = np.argsort(levels[-1][: len(both)], kind="stable")
+    order = order[both[order] > 0]
+    is_test = order > len(text)
+    known = np.flatnonzero(is_test)
+    out = np.zeros(len(text), np.int64)
+    if not len(known):
+        return out
+    mine = np.flatnonzero(~is_test)
+    after = np.searchsorted(known, mine)
+    for near, there in ((np.maximum(after - 1, 0), after > 0), (np.minimum(after, len(known) - 1), after < len(known))):
+        a, b = order[mine], order[known[near]]
+        same = np.zeros(len(mine), np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            same += np.where(levels[k][np.minimum(a + same, len(both))] == levels[k][np.minimum(b + same, len(both))], 1 << k, 0)
+        same = np.where(there, np.minimum(same, np.minimum(room[a], room[b])), 0)
+        np.maximum.at(out, a, same)
+    return out
 
 
 class Shard:
     """The suffix array of some documents against one block of test items."""
 
-    def __init__(self, tokens: np.ndarray, test: TestBlock):
-        self.test = test
-        shortest = int(test.lengths[test.queries].min())
-        longest = int(test.lengths[test.queries].max())
-        zero = np.r_[np.flatnonzero(tokens == 0), len(tokens)]
-        run = zero[np.searchsorted(zero, np.arange(len(tokens)))] - np.arange(len(tokens))
-        keep = np.flatnonzero(run >= shortest)
-        # cut out the stretches that hold kept suffixes, each closed by a 0
+    def __init__(self, tokens: np.ndarray, test: ItemBlock):
+        self.test, self.tokens = test, tokens
+        self.depth = int(test.length.max())
+        run = _room(tokens)
+        keep = np.flatnonzero(run >= int(test.length.min()))
+        # only the stretches that hold kept suffixes, each closed by a 0
         cover = np.zeros(len(tokens) + 1, np.int32)
         np.add.at(cover, keep, 1)
         np.add.at(cover, np.minimum(keep + run[keep], len(tokens)), -1)
-        self.at = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-        gap = np.r_[self.at[1:] != self.at[:-1] + 1, True] if len(self.at) else np.zeros(0, bool)
-        where = np.arange(len(self.at)) + np.r_[0, np.cumsum(gap)[:-1]] if len(self.at) else np.zeros(0, np.int64)
-        self.text = np.zeros(int(where[-1]) + 2 if len(where) else 1, np.int64)
-        self.text[where] = tokens[self.at]
-        self.origin = np.zeros(len(self.text), np.int64)
-        self.origin[where] = self.at
+        self.text, self.origin = _stretches(tokens, np.zeros(len(tokens), np.int8), np.cumsum(cover[:-1]) > 0)
         to = np.full(len(tokens) + 1, -1, np.int64)
-        to[self.at] = where
-        self.depth = longest
-        self.array = suffix_array(self.text, to[keep], longest)
+        real = self.origin >= 0
+        to[self.origin[real]] = np.flatnonzero(real)
+        self.array = suffix_array(self.text, to[keep], self.depth)
 
-    def _prefixes(self, pattern_at: np.ndarray, length: np.ndarray, upper: bool) -> np.ndarray:
-        """For each test suffix, the first place in the array whose prefix is not below (upper: is above) it."""
+    def _prefixes(self, upper: bool) -> np.ndarray:
+        """For each distinct window, the first place in the array whose prefix is not below (upper: is above) it."""
+        pattern_at, length = self.test.place, self.test.length
         text, tokens = np.r_[self.text, np.zeros(self.depth, np.int64)], np.r_[self.test.tokens, np.zeros(self.depth, np.int64)]
         lo, hi = np.zeros(len(pattern_at), np.int64), np.full(len(pattern_at), len(self.array), np.int64)
         while True:
@@ -124,28 +187,57 @@ class Shard:
             hi[open_[~right]] = mid[~right]
 
     def matches(self) -> tuple[np.ndarray, np.ndarray]:
-        """(test position, word position in the shard) of each occurrence of each window."""
-        q = self.test.queries
-        lo = self._prefixes(q, self.test.lengths[q], False)
-        hi = self._prefixes(q, self.test.lengths[q], True)
-        n = hi - lo
-        which = np.repeat(np.arange(len(q)), n)
-        slot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[which]
-        return q[which], self.origin[self.array[slot]]
-
-
-def longest(tokens: np.ndarray, at: np.ndarray, test: TestBlock, pos: np.ndarray) -> np.ndarray:
-    """Words that agree from each place on, up to the end of the item."""
-    n, live, k = np.zeros(len(at), np.int64), np.arange(len(at)), 0
-    while len(live):
-        live = live[(test.rest[pos[live]] > k) & (at[live] + k < len(tokens))]
-        live = live[tokens[at[live] + k] == test.tokens[pos[live] + k]]
-        n[live] += 1
-        k += 1
-    return n
-
-
-def _search(batches: Iterator[pa.RecordBatch], test: TestBlock, window: int) -> Iterator[pa.RecordBatch]:
+        """(distinct window, word position in the shard) of each occurrence of each window."""
+        lo = self._prefixes(False)
+        n = self._prefixes(True) - lo
+        return np.repeat(np.arange(len(n)), n), self.origin[self.array[_slots(lo, n)]]
+
+    def covered(self, window: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which words of the shard lie in an occurrence."""
+        count = np.zeros(len(self.tokens) + 1, np.int64)
+        np.add.at(count, at, 1)
+        np.add.at(count, at + self.test.length[window], -1)
+        return np.cumsum(count[:-1]) > 0
+
+    def longest(self, window: np.ndarray, at: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """For each word of the shard, the words of the longest match from it on that holds a window; a match of fewer words than the longest window is a short item's."""
+        found = np.zeros(len(self.test.length), bool)
+        found[window] = True
+        starts = np.flatnonzero((self.test.window_of >= 0) & found[self.test.window_of])
+        count = np.zeros(len(self.test.tokens) + 1, np.int64)
+        np.add.at(count, starts, 1)
+        np.add.at(count, starts + self.test.length[self.test.window_of[starts]], -1)
+        test, _ = _stretches(self.test.tokens, self.test.item_of, np.cumsum(count[:-1]) > 0)
+        text, origin = _stretches(self.tokens, np.zeros(len(self.tokens), np.int8), hit)
+        far = longest_matches(text, test)
+        out = np.zeros(len(self.tokens), np.int64)
+        real = (origin >= 0) & (far >= self.depth)
+        out[origin[real]] = far[real]
+        np.maximum.at(out, at, self.test.length[window])
+        return out
+
+
+def _holders(test: ItemBlock, doc: np.ndarray, window: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Distinct pairs (document, item) as document * items + item."""
+    n = len(test.items)
+    pairs = np.unique(doc * len(test.length) + window)
+    doc, window = pairs // len(test.length), pairs % len(test.length)
+    size = test.first[window + 1] - test.first[window]
+    upto, out, a = np.cumsum(size), np.zeros(0, np.int64), 0
+    while a < len(pairs):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + step, "right")))
+        more = np.repeat(doc[a:b], size[a:b]) * n + test.holders[_slots(test.first[window[a:b]], size[a:b])]
+        out, a = np.union1d(out, more), b
+    return out
+
+
+def _grouped(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Each run of equal values, its start and its end."""
+    edge = np.r_[0, np.flatnonzero(values[1:] != values[:-1]) + 1, len(values)] if len(values) else np.zeros(1, np.int64)
+    return values[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist()
+
+
+def _search(batches: Iterator[pa.RecordBatch], test: ItemBlock, window: int) -> Iterator[pa.RecordBatch]:
     """Adds what one block of test items finds to the columns n_words, hits (word runs), items and longest."""
     table = np.zeros(1 << 20, bool)
     table[test.vocabulary >> tk.U(44)] = True
@@ -157,7 +249,7 @@ def _search(batches: Iterator[pa.RecordBatch], test: TestBlock, window: int) ->
         for words in tk.chunks(batch.column("text"), tk.ALNUM, lower=True, size=SHARD_BYTES):
             n = np.diff(words.first)
             size[words.row : words.row + len(n)] = n
-            if not len(test.queries) or not len(words.starts):
+            if not len(test.length) or not len(words.starts):
                 continue
             # word ids, with a 0 after each document
             h = tk.word_hashes(words)
@@ -167,23 +259,22 @@ def _search(batches: Iterator[pa.RecordBatch], test: TestBlock, window: int) ->
             doc = words.doc_of()
             tokens = np.zeros(len(h) + len(n), np.int64)
             tokens[maybe[right] + doc[maybe[right]]] = where[right] + 1
-            pos, at = Shard(tokens, test).matches()
+            shard = Shard(tokens, test)
+            window_at, at = shard.matches()
             if not len(at):
                 continue
             first = words.first[:-1] + np.arange(len(n))
-            of = np.searchsorted(first, at, "right") - 1
-            length = test.lengths[pos]
-            far = longest(tokens, at, test, pos)
-            order = np.argsort(of, kind="stable")
-            of, at, pos, length, far = of[order], at[order], pos[order], length[order], far[order]
-            edge = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)]
-            for a, b in zip(edge[:-1], edge[1:]):
-                row = words.row + of[a]
-                # distinct places only: an item may hold a window twice, and items may share one
-                places = np.unique(np.stack([at[a:b] - first[of[a]], length[a:b]], 1), axis=0)
-                runs[row].append(places.astype(np.int32).tobytes())
-                found[row].update(test.items[i] for i in np.unique(test.item_of[pos[a:b]]))
-                best[row] = max(best[row], far[a:b].max())
+            hit = shard.covered(window_at, at)
+            for pair in _holders(test, np.searchsorted(first, at, "right") - 1, window_at).tolist():
+                found[words.row + pair // len(test.items)].add(test.items[pair % len(test.items)])
+            far = shard.longest(window_at, at, hit)
+            places = np.flatnonzero(far)
+            np.maximum.at(best, words.row + np.searchsorted(first, places, "right") - 1, far[places])
+            edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
+            of = np.searchsorted(first, edge[::2], "right") - 1
+            spans = np.stack([edge[::2] - first[of], edge[1::2] - edge[::2]], 1).astype(np.int32)
+            for row, a, b in zip(*_grouped(words.row + of)):
+                runs[row].append(spans[a:b].tobytes())
         if "hits" in batch.schema.names:
             for i, (h, items, far) in enumerate(zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), batch.column("longest").to_pylist())):
                 runs[i].append(h)
@@ -235,7 +326,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_byt
     result = ", ".join([*(f"`{n}` {kinds[n]}" for n in names.values()), "n_words long, n_hit long, items array<string>, longest long, spans string, contaminated boolean"])
     for k in range(rounds):
         part = items if rounds == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(rounds)) == k)
-        test = TestBlock.of([(r["item"], r["text"]) for r in part.toLocalIterator()], window)
+        test = ItemBlock.of([(r["item"], r["text"]) for r in part.toLocalIterator()], window)
         if k < rounds - 1:
             out = out.mapInArrow(lambda it, t=test: _search(it, t, window), fields)
         else:
@@ -249,7 +340,10 @@ def items_digest(items: list[str]) -> str:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of ``docs``, with their own columns, that hold no window of a test item."""
+    """The rows of ``docs``, with their own columns, that hold no window of a test item.
+
+    Null, blank and wordless texts hold none and stay, whatever the items are. Repeated rows stay or go together; a null doc_id is a row like any other. An empty table gives an empty result.
+    """
     names = docs.columns
     flagged = contamination(docs, items, window, keep=tuple(names))
     return flagged.filter(~F.col(flagged.columns[-1])).toDF(*names, "__n", "__h", "__i", "__l", "__s", "__c").select(*names)

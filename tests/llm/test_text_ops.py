@@ -16,7 +16,7 @@ from skyfold.llm.near_text import groups_of, keep_one
 from skyfold.llm.simhash import fingerprints_of, links, near_duplicates, xxh64_spans
 from skyfold.llm.components import components
 from skyfold.llm.substring_dedup import COVERS, period_for, remove_repeats
-from skyfold.llm.suffix_decontamination import Shard, TestBlock, contamination, decontaminate
+from skyfold.llm.suffix_decontamination import Shard, ItemBlock, contamination, decontaminate
 
 LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -292,5 +292,5 @@ def test_longest_match_and_spans(spark):
     assert r["longest"] == 6 and r["spans"] == "1:7,8:11" and r["n_hit"] == 9
     again = contamination(_docs(spark, [(1, "x A b, c d e f y a b c")] * 2), items, 3)
     assert again.count() == 2
-    assert Shard.__doc__ and TestBlock.of([], 3).queries.tolist() == []
+    assert Shard.__doc__ and ItemBlock.of([], 3).length.tolist() == []
     assert again.filter(F.col("contaminated")).count() == 2
