@@ -1,11 +1,10 @@
 """Document quality by positive-unlabelled learning.
 
 A small network is trained to minimise the non-negative unbiased PU risk: trusted positives are labelled rows of the training folds with quality 1, unlabelled rows
-are a seeded sample of the same folds' documents, and the class prior is estimated. Inputs are statistics of the whole text (bytes, words, lines); labels, language, source and
-doc_id are never inputs. Where the training folds also hold labelled negatives, they set the prior and a two-parameter calibration of the final score; without them the prior comes from
-the score distributions of positives and unlabelled rows (best-bin estimate).
+are a seeded sample of the same folds' documents, and the class prior is estimated from the score distributions of the two on rows that the rough network has not seen (best-bin
+estimate). Inputs are statistics of the whole text (bytes, words, lines); labels, language, source and doc_id are never inputs. Labelled negatives are not used at all.
 
-The fit sees ``max_rows`` positives, negatives and unlabelled rows each at most; every row is scored.
+The fit sees some ``max_rows`` positives and unlabelled documents each, one row for each doc_id; every row is scored.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ from . import textkit as tk
 
 MAX_ROWS = 20_000
 FOLDS = 5
+HIDDEN, EPOCHS = 24, 60
 NOT_LINE = np.ones(256, bool)
 NOT_LINE[0x0A] = False
 _UPPER, _LOWER, _DIGIT, _SPACE = (np.isin(np.arange(256), list(r)) for r in (range(65, 91), range(97, 123), range(48, 58), [32, 9, 11, 12, 13]))
@@ -101,7 +101,7 @@ def features(column: pa.Array) -> np.ndarray:
 
 @dataclass
 class Model:
-    """A network of one hidden layer over standardised statistics, and its calibration."""
+    """A network of one hidden layer over standardised statistics."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -109,8 +109,6 @@ class Model:
     b1: np.ndarray
     w2: np.ndarray
     b2: float
-    slope: float = 1.0
-    shift: float = 0.0
     prior: float = 0.5
 
     def logit(self, x: np.ndarray) -> np.ndarray:
@@ -118,23 +116,34 @@ class Model:
         return np.tanh(z @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.logit(x) + self.shift, -35, 35)))
+        return 1 / (1 + np.exp(-np.clip(self.logit(x), -35, 35)))
 
 
-def best_bin_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Least ratio of the unlabelled to the positive upper tail, over tails with enough positives."""
-    cuts = np.quantile(p, np.linspace(0, 0.9, 50))
-    tail_p, tail_u = (np.array([(x >= c).mean() for c in cuts]) for x in (p, u))
-    slack = np.sqrt(np.log(4 / 0.1) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
-    return float(np.clip(((tail_u + slack) / tail_p).min(), 0.05, 0.99))
+def best_bin_prior(p: np.ndarray, u: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """Ratio of the unlabelled to the positive upper tail, over the tail in which its upper confidence bound is least; both hold scores of rows that the network has not seen."""
+    cuts = np.unique(np.quantile(p, np.linspace(0, 0.95, 96)))
+    tail_p, tail_u = (1 - np.searchsorted(np.sort(x), cuts) / len(x) for x in (p, u))
+    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+    best = int(np.argmin((tail_u + (1 + gamma) * slack) / tail_p))
+    return float(np.clip(tail_u[best] / tail_p[best], 0.02, 0.98))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, hidden: int = 24, epochs: int = 60, seed: int = 42) -> Model:
+def estimated_prior(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, hidden: int, epochs: int, seed: int) -> float:
+    """The class prior by two networks, each judged on the half of the rows that the other was trained on."""
+    half = np.random.default_rng(seed).permutation(len(x)) % 2
+    found = []
+    for k in (0, 1):
+        own, other = half == k, half != k
+        if min((own & positive).sum(), (own & unlabelled).sum(), (other & positive).sum(), (other & unlabelled).sum()) == 0:
+            continue
+        rough = train(x[own & positive], x[own & unlabelled], 0.5, hidden, epochs, seed)
+        found.append(best_bin_prior(rough.logit(x[other & positive]), rough.logit(x[other & unlabelled])))
+    return float(np.mean(found)) if found else 0.5
+
+
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = 42) -> Model:
     """Minimise the non-negative PU risk with the logistic loss by Adam."""
     rng = np.random.default_rng(seed)
-    if prior is None:
-        rough = train(positive, unlabelled, 0.5, hidden, max(10, epochs // 3), seed)
-        prior = best_bin_prior(rough.logit(positive), rough.logit(unlabelled))
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
     xp, xu = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
     n = xp.shape[1]
@@ -165,64 +174,62 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
     return Model(mean, scale, par[0], par[1], par[2], float(par[3]), prior=prior)
 
 
-def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
-    """Slope and shift of the logit by penalised logistic regression on labelled training rows."""
-    z = np.stack([model.logit(x), np.ones(len(x))], 1)
-    beta, ridge = np.array([1.0, 0.0]), np.array([1.0, 0.1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge)
-        step = np.linalg.solve(h, z.T @ (y - p) - ridge * (beta - [1.0, 0.0]))
-        beta = beta + np.clip(step, -1, 1)
-    model.slope, model.shift = float(max(beta[0], 1e-3)), float(beta[1])
-
-
 def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
+def fit_rows(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, seed: int = 42) -> Model | None:
+    """The network of given rows; None without a positive or an unlabelled one."""
+    if not positive.any() or not unlabelled.any():
+        return None
+    order = np.lexsort((*x.T[:6], positive, unlabelled))  # the fit does not depend on the order in which tasks end
+    x, positive, unlabelled = x[order], positive[order], unlabelled[order]
+    prior = estimated_prior(x, positive, unlabelled, HIDDEN, EPOCHS // 3, seed)
+    return train(x[positive], x[unlabelled], prior, seed=seed)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int = 42) -> Model | None:
-    """Train on folds 1 to 4; None where they hold no positive label or no text."""
-    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)")
-    ids = ids.filter(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    picked = ids.filter("quality = 1").orderBy(order).limit(max_rows).union(ids.filter("quality = 0").orderBy(order).limit(max_rows))
+    """Train on folds 1 to 4; None where they hold no positive label or no text.
+
+    At most ``max_rows`` labelled ids count, and a hash of doc_id draws about as many unlabelled ones. Of rows with one doc_id the one with the least text checksum stands for
+    all, within each task before it is sent, so that an id that a third of all rows share is one row for each task.
+    """
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality = 1")
+    ids = ids.filter(fold(F.col("doc_id")) != 0).select("doc_id").distinct()
+    picked = ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_rows).withColumn("known", F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
-    n = rows.count()
+    n = rows.agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).first()["n"]
     share = min(1.0, max_rows / max(n, 1))
-    sampled = (F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))) & (fold(F.col("doc_id")) != 0)
-    # at most 2 * max_rows pairs of numbers (under 1 MB) are sent to all tasks
-    near = rows.join(F.broadcast(picked), "doc_id", "left").withColumn("u", sampled).filter("quality IS NOT NULL OR u")
+    sampled = (F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) & (fold(F.col("doc_id")) != 0)
+    # at most max_rows pairs of numbers (under 1 MB) are sent to all tasks
+    near = rows.join(F.broadcast(picked), "doc_id", "left").withColumn("u", sampled).withColumn("known", F.coalesce("known", F.lit(False))).filter("known OR u")
+    near = near.select("doc_id", "known", "u", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"), "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, int] = {}
         for batch in batches:
-            if batch.num_rows:
-                x = features(batch.column("text")).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("u"), pa.array([r.tobytes() for r in x], pa.binary())], ["quality", "u", "x"])
-
-    got = near.select("quality", "u", "text").mapInArrow(of, "quality int, u boolean, x binary").collect()
+            fresh = []
+            for i, (key, crc) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("crc").to_pylist())):
+                if key not in best or crc < best[key]:
+                    best[key] = crc
+                    fresh.append(i)
+            if fresh:
+                part = batch.take(pa.array(fresh, pa.int32()))
+                x = features(part.column("text")).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "known", "u", "crc")), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "known", "u", "crc", "x"])
+
+    one = near.mapInArrow(of, "doc_id long, known boolean, u boolean, crc long, x binary").groupBy("doc_id", "known", "u").agg(F.min(F.struct("crc", "x")).alias("m"))
+    got = one.select("known", "u", F.col("m.x").alias("x")).collect()
     if not got:
         return None
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in got]).astype(np.float64)
-    y = np.array([-1 if r["quality"] is None else r["quality"] for r in got])
-    u = np.array([r["u"] for r in got])
-    if not (y == 1).any() or not u.any():
-        return None
-    order = np.lexsort(tuple(x.T[:6]) + (y,))  # the fit does not depend on the order in which tasks end
-    x, y, u = x[order], y[order], u[order]
-    known = y >= 0
-    both = min((y == 1).sum(), (y == 0).sum())
-    drawn = ids.agg(F.avg("quality").alias("m")).first()["m"]
-    model = train(x[y == 1], x[u], float(np.clip(drawn, 0.05, 0.99)) if both >= 10 else None, seed=seed)
-    if both >= 10:
-        calibrate(model, x[known], y[known].astype(float))
-    return model
+    return fit_rows(x, np.array([r["known"] for r in got]), np.array([r["u"] for r in got]), seed)
 
 
 def score(docs: DataFrame, labels: DataFrame, accept: float = 0.3, max_rows: int = MAX_ROWS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns, held_out, score (0 to 1) and predicted (1 if score is ``accept`` or more) for each row of ``docs``.
 
-    A null text counts as empty and is scored like any other; a null doc_id is held out. Labels that are null or neither 0 nor 1 are left out; of several labels for a document the best counts.
+    A null text counts as empty and is scored like any other; a null doc_id is held out. Only labels 1 are used; a document with several labels counts as one if any of them is 1.
     Without a positive label or any text to train on, every score is 0.5. Repeated rows give repeated results, an empty table an empty one.
     """
     model = fit(docs, labels, max_rows)
