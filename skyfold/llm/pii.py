@@ -1,10 +1,10 @@
 """Personal data in texts by weak supervision.
 
-Base spans follow fixed patterns (email, ip, card, phone). Beyond them, loose patterns give candidates, and labelers of three sorts vote on each: regular
+Base spans follow fixed patterns (email, ip, card, phone). Beyond them, loose patterns give candidates, and labelers of three sorts vote for or against each, or abstain: regular
 expressions (does a stricter form match, does a checksum hold), gazetteers (known domains, hosts and prefixes) and context (words next to the candidate). Votes of the whole corpus are counted by
-pattern; expectation-maximisation estimates each labeler's reliability from those counts, and a logistic span classifier is trained on the features of the candidates with the
-estimated labels. Candidates that it accepts are added to the base spans. Counts are by vote pattern, of which there are at most
-``PATTERNS``; nothing that grows with the corpus reaches the driver.
+pattern; expectation-maximisation estimates from those counts how often each labeler is right about true and about false candidates of each kind, and a logistic span classifier is trained on the
+features of the candidates with the estimated labels. Candidates that it accepts are added to the base spans; base spans are candidates too, from which reliabilities are learnt, but stay
+whatever the classifier says. Counts are by vote pattern, of which there are at most ``PATTERNS``; nothing that grows with the corpus reaches the driver.
 """
 
 from __future__ import annotations
@@ -105,12 +105,23 @@ CONTEXT = {
     "phone": re.compile(r"phone|call|tel\b|tel[.:]|fax|mobile|cell|whatsapp|telefon|téléphone|llama", re.I),
     "secret": re.compile(r"token|secret|passw|passwd|pwd|api|key|bearer|auth|credential|private", re.I),
 }
+ASSIGNED = re.compile(r"[:=]\s*[\"']?$|\bis\s+[\"']?$")
+PLAIN_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 AGAINST = re.compile(r"isbn|order|invoice|version|commit|sha-?1|sha-?256|md5|checksum|digest|page|https?://|doi|serial|uuid", re.I)
 DOMAINS = frozenset("com org net edu gov io de fr es uk info eu co ch at nl it pl".split())
 CARD_STARTS = ("4", "51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27", "34", "37", "6011", "65", "35", "30", "36", "38")
 SECRET_STARTS = ("ghp_", "gho_", "sk-", "sk_", "pk_", "AKIA", "ASIA", "xox", "AIza", "eyJ", "glpat-", "hf_")
-LABELERS = ("strict", "checksum", "gazetteer", "context", "assigned", "noise")
-PATTERNS = len(KINDS) * 3 ** len(LABELERS) * 16
+#: Area codes and country codes that a number in plain digits may start with.
+PHONE_STARTS = re.compile(r"(?:\+|00)[1-9]|\(0?[1-9]|[2-9][0-9]{2}[.-]")
+PRIVATE = re.compile(r"(?:10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.")
+GLOBAL_V6 = re.compile(r"(?:2[0-9a-f]{3}|fe80|fd[0-9a-f]{2}|fc[0-9a-f]{2}):", re.I)
+UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
+#: Labelers, and how often each is believed to be right before any count.
+BELIEFS = {"form": 0.8, "check": 0.9, "gazetteer": 0.75, "context": 0.8, "assigned": 0.75, "against": 0.85}
+LABELERS = tuple(BELIEFS)
+#: Candidates that a belief weighs as many as.
+STRENGTH = 20.0
+PATTERNS = 2 * len(KINDS) * 3 ** len(LABELERS) * 16
 
 
 def _entropy(s: str) -> float:
@@ -126,50 +137,57 @@ class Candidate:
     pattern: str
 
 
-def _pattern(text: str, a: int, b: int, kind: str) -> str:
-    """Votes of the labelers as one of -0+ each, and two bounded features: length class and character mix."""
+def _signed(yes: bool, no: bool = False) -> str:
+    return "+" if yes else "-" if no else "0"
+
+
+def _pattern(text: str, a: int, b: int, kind: str, base: bool) -> str:
+    """``kind:votes:features``: the votes of the labelers as one of -0+ each, and whether it is a base span (b or l), a length class and a character mix.
+
+    A labeler abstains where the loose form alone settles its vote.
+    """
     s = text[a:b]
     before, after = text[max(0, a - 32) : a], text[b : b + 16]
     digits = DIGITS.sub("", s)
-    votes = {}
+    context = CONTEXT[kind].search(before) is not None
+    assigned = ASSIGNED.search(before) is not None and not AGAINST.search(before[-12:])
     if kind == "email":
-        votes["strict"] = "+" if re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", s) else "0"
-        votes["checksum"] = "+" if re.search(r"[\[({]", s) else "-" if re.search(r"\s", s) else "0"
-        votes["gazetteer"] = "+" if re.split(r"[^A-Za-z]+", s.strip(" )]}"))[-1].lower() in DOMAINS else "-"
+        bracketed = re.search(r"[\[({]", s) is not None
+        form = _signed(PLAIN_EMAIL.fullmatch(s) is not None, not bracketed)
+        last = re.split(r"[^A-Za-z]+", s.strip(" )]}"))[-1].lower()
+        check = _signed(bracketed and not re.search(r"(?:^|[^\s\])}])\.(?=[^\s\[({])", s.split("at", 1)[-1]), not last)
+        known = _signed(last in DOMAINS, True)
     elif kind == "ip" and ":" not in s:
         octets = s.split(".")
-        votes["strict"] = "+" if len(octets) == 4 else "-"
-        votes["checksum"] = "+" if all(len(p) == len(str(int(p))) for p in octets if len(p) < 4) else "-"
-        votes["gazetteer"] = "+" if re.match(r"(?:10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.", s) else "0"
+        form = "0"
+        check = _signed(all(p == "0" or not p.startswith("0") for p in octets), True)
+        known = _signed(PRIVATE.match(s) is not None, int(octets[0].lstrip("0") or "0") in (0, *range(224, 256)))
     elif kind == "ip":
         groups = s.split(":")
-        votes["strict"] = "+" if len(groups) == 8 or "::" in s else "-"
-        votes["checksum"] = "-" if digits == s.replace(":", "") and len(groups) < 6 else "0"
-        votes["gazetteer"] = "+" if re.match(r"(?:2[0-9a-f]{3}|fe80|fd|fc)", s, re.I) else "0"
+        form = _signed(len(groups) == 8 or "::" in s, True)
+        check = _signed(any(len(g) > 2 for g in groups) and re.search("[a-f]", s, re.I) is not None, all(len(g) <= 2 for g in groups))
+        known = _signed(GLOBAL_V6.match(s) is not None, True)
     elif kind == "card":
-        votes["strict"] = "+" if 13 <= len(digits) <= 19 and len(digits) in (13, 14, 15, 16, 19) else "-"
-        votes["checksum"] = "+" if luhn(digits) else "-"
-        votes["gazetteer"] = "+" if digits.startswith(CARD_STARTS) else "-"
+        form = _signed(len(s) > len(digits) and len(digits) == 16)
+        check = _signed(luhn(digits), True)
+        known = _signed(digits.startswith(CARD_STARTS) and len(digits) in (13, 14, 15, 16, 19), True)
     elif kind == "phone":
-        votes["strict"] = "+" if s.startswith(("+", "00")) else "0"
-        votes["checksum"] = "+" if 9 <= len(digits) <= 15 else "-"
-        votes["gazetteer"] = "+" if re.search(r"\(\d{2,4}\)|^\d{3}[.-]\d{3}[.-]\d{4}$", s) else "0"
+        form = _signed(s.startswith(("+", "00")) or "(" in s)
+        check = _signed(9 <= len(digits) <= 15, True)
+        known = _signed(PHONE_STARTS.match(s) is not None, True)
     else:
-        e = _entropy(s)
-        votes["strict"] = "+" if re.fullmatch(r"[0-9a-f]{32,64}|[A-Za-z0-9+/_-]{32,}={0,2}", s) else "0"
-        votes["checksum"] = "+" if e >= 3.2 and len(set(s)) >= 10 and len(digits) >= 3 else "-"
-        votes["gazetteer"] = "+" if s.startswith(SECRET_STARTS) else "0"
-    votes["context"] = "+" if CONTEXT[kind].search(before) else "0"
-    votes["assigned"] = "+" if re.search(r"[:=]\s*[\"']?$|\bis\s+[\"']?$", before) else "0"
-    votes["noise"] = "-" if AGAINST.search(before) or after[:1].isalnum() else "0"
+        form = _signed(re.fullmatch(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]{24,}={0,2}", s) is not None, s.count("/") > 2 or UUID.fullmatch(s) is not None)
+        check = _signed(_entropy(s) >= 2.75 and len(digits) >= 2 and len(digits) < len(s), True)
+        known = _signed(s.startswith(SECRET_STARTS))
+    votes = form + check + known + _signed(context, kind == "secret") + _signed(assigned, kind == "secret") + _signed(False, AGAINST.search(before) is not None or after[:1].isalnum())
     size = min(3, (b - a) // 12)
     mix = 2 * any(c.isalpha() for c in s) + any(not c.isalnum() for c in s)
-    return kind + ":" + "".join(votes[n] for n in LABELERS) + f":{size}{mix}"
+    return f"{kind}:{votes}:{'b' if base else 'l'}{size}{mix}"
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[Candidate]:
     """Spans of the loose forms that no base span overlaps, and the base spans themselves, each with its votes."""
-    out = [Candidate(a, b, k, _pattern(text, a, b, k)) for a, b, k in base]
+    out = [Candidate(a, b, k, _pattern(text, a, b, k, True)) for a, b, k in base]
     starts: list[int] = []
     ends: list[int] = []
     for a, b, _ in sorted(base):  # disjoint runs, since base spans of different kinds may overlap
@@ -187,7 +205,7 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[Candidate]:
             i = bisect_left(ends, a + 1)
             if i == len(starts) or starts[i] >= b:
                 free.append((a, b))
-                out.append(Candidate(a, b, kind, _pattern(text, a, b, kind)))
+                out.append(Candidate(a, b, kind, _pattern(text, a, b, kind, False)))
         if free:
             both = sorted([*zip(starts, ends), *free])
             starts, ends = [x for x, _ in both], [y for _, y in both]
@@ -199,62 +217,63 @@ class Model:
     """Accepted patterns, with the classifier's probability."""
 
     score: dict[str, float]
-    reliability: dict[str, dict[str, float]]
+    reliability: dict[str, dict[str, tuple[float, float]]]
 
 
 def _features(pattern: str) -> np.ndarray:
+    """Kind, each vote by kind, length class and character mix as zeros and ones."""
     kind, votes, more = pattern.split(":")
-    x = np.zeros(1 + len(KINDS) + 2 * len(LABELERS) + 8)
+    n = 1 + 2 * len(LABELERS)
+    x = np.zeros(1 + n * len(KINDS) + 8)
     x[0] = 1
-    x[1 + RANK[kind]] = 1
+    at = 1 + n * RANK[kind]
+    x[at] = 1
     for i, v in enumerate(votes):
-        x[1 + len(KINDS) + 2 * i + (v == "-")] = v != "0"
-    at = 1 + len(KINDS) + 2 * len(LABELERS)
-    x[at + int(more[0])] = 1
-    x[at + 4 + int(more[1])] = 1
+        x[at + 1 + 2 * i + (v == "-")] = v != "0"
+    at = 1 + n * len(KINDS)
+    x[at + int(more[1])] = 1
+    x[at + 4 + int(more[2])] = 1
     return x
 
 
-def fit(counts: dict[str, int], rounds: int = 50) -> Model:
-    """Labeler reliabilities by expectation-maximisation over vote patterns, then the span classifier by Newton steps.
+def fit(counts: dict[str, int], rounds: int = 100) -> Model:
+    """Labeler reliabilities by expectation-maximisation over counted vote patterns, then the span classifier by Newton steps.
 
-    Reliabilities start from the belief that a vote is right four times in five and keep that belief as a weak prior, so a kind with few candidates falls back on it.
+    For each kind, a labeler that votes is right with one probability about true and with another about false candidates, both at least a half. They start at the labeler's belief, which
+    stays as a prior worth ``STRENGTH`` candidates. The share of true candidates is estimated apart for base spans and for the others, so that many base spans don't speak for loose forms.
     """
     score, reliability = {}, {}
     posterior: dict[str, float] = {}
+    belief = np.array([BELIEFS[name] for name in LABELERS])
     for kind in KINDS:
         keys = sorted(p for p in counts if p.startswith(kind + ":"))
         if not keys:
             continue
-        # damped counts: one frequent form does not decide what rare ones look like
-        n = np.log1p([counts[p] for p in keys])
+        n = np.array([counts[p] for p in keys], float)
         votes = np.array([[{"-": -1, "0": 0, "+": 1}[v] for v in p.split(":")[1]] for p in keys])
-        # probability of a vote of + / - / none given a true and given a false candidate
-        like = np.full((2, len(LABELERS), 3), 1.0)
-        like[1, :, 0], like[1, :, 2] = 0.1, 0.5
-        like[0, :, 0], like[0, :, 2] = 0.5, 0.1
-        like[:, :, 1] = 0.4
-        strength, belief, prior = 20.0, like.copy(), 0.5
+        base = np.array([p.split(":")[2][0] == "b" for p in keys])
+        right, share = np.stack([belief, belief]), np.where(base, 0.8, 0.5)  # about false, about true candidates
         for _ in range(rounds):
-            log = np.stack([sum(np.log(like[c, i, votes[:, i] + 1]) for i in range(len(LABELERS))) for c in (0, 1)])
-            log += np.log([[1 - prior], [prior]])
-            q = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
-            prior = float((n @ q + 10) / (n.sum() + 20))
+            false = np.where(votes < 0, np.log(right[0]), np.where(votes > 0, np.log(1 - right[0]), 0)).sum(1) + np.log(1 - share)
+            true = np.where(votes > 0, np.log(right[1]), np.where(votes < 0, np.log(1 - right[1]), 0)).sum(1) + np.log(share)
+            q = 1 / (1 + np.exp(np.clip(false - true, -50, 50)))
+            for sort in (base, ~base):
+                share[sort] = np.clip((n[sort] @ q[sort] + 2) / (n[sort].sum() + 4), 0.02, 0.98)
             for c, w in ((0, n * (1 - q)), (1, n * q)):
-                for i in range(len(LABELERS)):
-                    got = np.array([w[votes[:, i] == v].sum() for v in (-1, 0, 1)])
-                    like[c, i] = (got + strength * belief[c, i]) / (got.sum() + strength)
-        reliability[kind] = {name: float(like[1, i, 2] / (like[1, i, 2] + like[0, i, 2])) for i, name in enumerate(LABELERS)}
+                good, voted = w @ (votes == 2 * c - 1), w @ (votes != 0)
+                right[c] = np.clip((good + STRENGTH * belief) / (voted + STRENGTH), 0.5, 0.98)
+        reliability[kind] = {name: (float(right[0, i]), float(right[1, i])) for i, name in enumerate(LABELERS)}
         posterior |= dict(zip(keys, q.tolist()))
     if posterior:
         keys = sorted(posterior)
         x = np.array([_features(p) for p in keys])
-        y, w = np.array([posterior[p] for p in keys]), np.log1p([counts[p] for p in keys])
+        y, w = np.array([posterior[p] for p in keys]), np.array([counts[p] for p in keys], float)
+        w *= min(1.0, 1e6 / w.sum())
         beta = np.zeros(x.shape[1])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
             h = (x * (w * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(x.shape[1])
-            beta += np.linalg.solve(h, x.T @ (w * (y - p)) - 0.05 * beta)
+            beta += np.clip(np.linalg.solve(h, x.T @ (w * (y - p)) - 0.05 * beta), -2, 2)
         score = dict(zip(keys, (1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))).tolist()))
     return Model(score, reliability)
 
