@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.llm import kd_sharding, mixing, near_text, pu_quality, suffix_decontamination
-from skyfold.llm.spark_util import shared_folder, table
+from skyfold.llm.spark_util import remove, shared_folder, table
 
 SHARDS = 24
 #: Share of the tokens that the mixture reads; a document is read once at most.
@@ -51,10 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shards of ``documents`` after all stages."""
-    docs = table(spark, sf_dir, "documents")
+    """The shards of ``documents`` after all stages. What a stage wrote is removed once the next has read it."""
+    docs, last = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            remove(spark, last)
+        last = f"{folder}/{name}"
     return docs
