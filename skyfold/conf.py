@@ -6,6 +6,8 @@ import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
+
 from .units import Unit
 
 
@@ -14,7 +16,7 @@ class EngineConf:
     """Switches and registries that a snapshot is opened with.
 
     ``strict_units``: raise where a column has no unit, instead of hiding the column. ``only_user_functions``: leave the built-in
-    derived columns out. ``aliases``: short name by key. ``user_functions``: key -> (dependencies or None, function of a snapshot that gives a Column). ``user_units``: (species, block) -> unit.
+    derived columns out. ``aliases``: short name by key. ``user_functions``: key -> (dependencies or None, function of a snapshot that gives a Column). ``user_units``: (species, block) -> unit. ``user_aggregates``: name -> function of a Column that gives an aggregate.
     """
 
     strict_units: bool = False
@@ -23,6 +25,7 @@ class EngineConf:
     aliases: dict[str, str] = field(default_factory=dict)
     user_functions: dict[str, tuple[tuple[str, ...] | None, Callable]] = field(default_factory=dict)
     user_units: dict[tuple[str, str], Unit] = field(default_factory=dict)
+    user_aggregates: dict[str, Callable] = field(default_factory=dict)
 
     def add_user_function(self, key: str, function: Callable, depends: tuple[str, ...] | None = None) -> None:
         """A derived column; without ``depends`` it is taken to be possible always."""
@@ -39,6 +42,12 @@ class EngineConf:
             raise ValueError(f"{species}/{block} already has the unit {known}")
         self.user_units[species, block] = new
 
+    def add_user_aggregate(self, name: str, function: Callable) -> None:
+        """An aggregate by name: a composition of built-in ones, or a grouped pandas UDF."""
+        if name in self.user_aggregates:
+            raise ValueError(f"there is an aggregate {name} already")
+        self.user_aggregates[name] = function
+
     def set_aliases(self, aliases: Mapping[str, str]) -> None:
         """Short names by key; both must be unique."""
         if len(set(aliases.values())) != len(aliases):
@@ -50,10 +59,17 @@ class EngineConf:
         return next((k for k, v in self.aliases.items() if v == name), name)
 
     @staticmethod
-    def load(path: str) -> EngineConf:
-        """Settings from a JSON file. Data only: nothing in it is executed."""
+    def load(path: str, spark: SparkSession | None = None) -> EngineConf:
+        """Settings from a JSON file, on the driver's disk or, with a session, on any file system that Spark reads. Data only: nothing in it is executed."""
+        if spark is not None:
+            from .sources.files import read_json
+
+            return EngineConf.of(read_json(spark, path))
         with open(path) as f:
-            raw = json.load(f)
+            return EngineConf.of(json.load(f))
+
+    @staticmethod
+    def of(raw: Mapping) -> EngineConf:
         conf = EngineConf(bool(raw.get("strict_units", False)), bool(raw.get("only_user_functions", False)), bool(raw.get("verbose", False)))
         conf.set_aliases(raw.get("aliases", {}))
         for name, unit in raw.get("user_units", {}).items():

@@ -70,3 +70,28 @@ def shell(pos: Column, center: Sequence[float], r_max: float, r_min: float = 0.0
     if margin is None or largest_margin is not None:
         exact = _bounds(pos, center, [r_max + (largest_margin or 0.0)] * 3) & exact
     return exact
+
+
+def in_box(pos: Column, low: Sequence, high: Sequence) -> Column:
+    """Inside a closed box from its lower to its upper corner (numbers or columns)."""
+    return _and([(c >= a) & (c <= b) for c, a, b in zip(parts(pos), _columns(low), _columns(high))])
+
+
+def box_gap_square(pos: Column, low: Sequence, high: Sequence) -> Column:
+    """Squared distance to a closed box, zero inside."""
+    d = [F.greatest(F.lit(0.0), a - c, c - b) for c, a, b in zip(parts(pos), _columns(low), _columns(high))]
+    return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+
+
+def box_distance(pos: Column, low: Sequence, high: Sequence) -> Column:
+    return F.sqrt(box_gap_square(pos, low, high))
+
+
+def box_meets_sphere(low: Sequence, high: Sequence, center: Column, radius: Column | float) -> Column:
+    """Whether a closed box and a closed ball share a place."""
+    r = radius if isinstance(radius, Column) else F.lit(float(radius))
+    return box_gap_square(center, low, high) <= r * r
+
+
+def _columns(corner: Sequence) -> list[Column]:
+    return [c if isinstance(c, Column) else F.lit(float(c)) for c in corner]

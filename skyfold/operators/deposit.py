@@ -30,11 +30,15 @@ def kernel_size(volume: Column, nvol: float = 8) -> Column:
 
 
 def _stencils(x, y, h, value, nx, ny) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Flat pixel numbers and shares of the value, for kernels in pixel units; edge mass is lost, not moved."""
+    """Flat pixel numbers and shares of the value, for kernels in pixel units; edge mass is lost, not moved.
+
+    Entries are worked on ``SLAB`` at a time; of a kernel that is larger than that, some rows of pixels at a time, for its norm first and then for those in the image.
+    """
     h = np.maximum(h, 1.0)
     reach = h.astype(np.int64) + 1
     px, py = np.trunc(x).astype(np.int64), np.trunc(y).astype(np.int64)
-    for r in np.unique(reach):
+    small = 4 * reach * reach <= SLAB
+    for r in np.unique(reach[small]):
         who = np.flatnonzero(reach == r)
         step = np.arange(-r, r)
         size = max(1, SLAB // (4 * r * r))
@@ -52,6 +56,32 @@ def _stencils(x, y, h, value, nx, ny) -> Iterator[tuple[np.ndarray, np.ndarray]]
             row = np.where((iy >= 0) & (iy < ny), iy, -1)[:, None, :]
             ok = (share > 0) & (flat >= 0) & (row >= 0)
             yield (row * nx + flat)[ok], (share * (value[w] / norm)[:, None, None])[ok]
+    for i in np.flatnonzero(~small):
+        yield from _wide_stencil(x[i], y[i], h[i], value[i], nx, ny)
+
+
+def _wide_stencil(x: float, y: float, h: float, value: float, nx: int, ny: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A single kernel of many pixels. Its norm is summed over its columns of pixels in closed form: in each, the pixels it reaches are a run, over which the share is a polynomial of second degree."""
+    r = int(h) + 1
+    ix = math.trunc(x) + np.arange(-r, r)
+    dx = x - (ix + 0.5)
+    left = np.maximum(1.0 - dx * dx / (h * h), 0.0)
+    half = h * np.sqrt(left)
+    first, last = np.maximum(np.ceil(y - half - 0.5), math.trunc(y) - r), np.minimum(np.floor(y + half - 0.5), math.trunc(y) + r - 1)
+    n = np.maximum(last - first + 1, 0)
+    # sums of k and k^2 over the run, k from its first pixel's distance on
+    d = first + 0.5 - y
+    squares = n * d * d + d * n * (n - 1) + (n - 1) * n * (2 * n - 1) / 6
+    norm = float((n * left - squares / (h * h)).sum())
+    near = np.flatnonzero((ix >= 0) & (ix < nx) & (left > 0))
+    low, high = max(0, math.trunc(y) - r), min(ny, math.trunc(y) + r)
+    step = max(1, SLAB // max(1, len(near)))
+    for a in range(low, high, step):
+        iy = np.arange(a, min(high, a + step))
+        dy = y - (iy + 0.5)
+        share = left[near][None, :] - (dy * dy / (h * h))[:, None]
+        row, col = np.nonzero(share > 0)
+        yield iy[row] * nx + ix[near][col], share[row, col] * (value / norm)
 
 
 def _deposit(batches: Iterator[pa.RecordBatch], sizes: dict[int, tuple[int, int]], micro: bool) -> Iterator[pa.RecordBatch]:

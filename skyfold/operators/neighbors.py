@@ -1,12 +1,11 @@
 """Nearest neighbours and radius search as equi-joins on grid cells, and Morton keys.
 
 Points and queries meet on integer cell numbers; a query looks into the 27 cells around its own. A match no further than the cell's width is
-proven to be the nearest. Queries without one go on with cells twice as wide. No cross join. A set of points of a checked size is sent to the queries' tasks instead.
+proven to be the nearest. Queries without one go on with cells twice as wide. No cross join. A set of points of a checked size is sent to the queries' tasks as a kd-tree instead.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from itertools import product
 
@@ -16,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import AXES, parts
-from .cells import SENT_POINTS, CellIndex
+from ..shared import shared_folder
+from .cells import SENT_POINTS, PointTree
 
 MORTON_BITS = 21
 CROWD = 512
@@ -24,9 +24,7 @@ CROWD = 512
 
 def _kept(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration in the folder that the session shares."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyfold-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -58,7 +56,7 @@ def nearest(points: DataFrame, queries: DataFrame, pos: str = "pos", point_id: s
     """The nearest point of each query: qid, id and d2 (squared distance); ties go to the smaller id.
 
     ``ignore_self``: leave points at distance zero out. Queries without any point left are not in the result. Up to ``sent_points`` points
-    are sent to the queries' tasks as one grid; with more, points and queries meet in joins on cells.
+    are sent to the queries' tasks as one tree; with more, points and queries meet in joins on cells.
     """
     # points at one place differ by their ids only: the smallest stands for all, however many there are
     p = points.groupBy(F.col(pos).alias("__p")).agg(F.min(point_id).alias("id")).select("id", "__p")
@@ -96,17 +94,20 @@ def nearest(points: DataFrame, queries: DataFrame, pos: str = "pos", point_id: s
     return out
 
 
+def _sent(p: DataFrame):
+    """Ids and the tree of points (id, __p), of which there are as many as may be sent."""
+    table = p.orderBy("id").toArrow()
+    return p.sparkSession.sparkContext.broadcast((table.column("id").combine_chunks(), PointTree(_matrix(table.column("__p").combine_chunks()))))
+
+
 def _nearest_sent(p: DataFrame, queries: DataFrame, ignore_self: bool) -> DataFrame:
-    table = p.orderBy("id").toArrow()  # at most sent_points rows, as counted before
-    ids, places = table.column("id").combine_chunks(), table.column("__p").combine_chunks()
-    sent = p.sparkSession.sparkContext.broadcast((ids, _matrix(places)))
+    sent = _sent(p)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, points = sent.value
-        index = CellIndex(points)
+        ids, tree = sent.value
         for batch in batches:
             if batch.num_rows:
-                who, d2 = index.nearest(_matrix(batch.column(1)), ignore_self)
+                who, d2 = tree.nearest(_matrix(batch.column(1)), ignore_self)
                 ok = np.flatnonzero(who >= 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), ids.take(pa.array(who[ok])), pa.array(d2[ok])], ["qid", "id", "d2"])
 
@@ -135,17 +136,80 @@ def _gap(p: DataFrame, q: DataFrame) -> float:
     return float(np.sqrt(sum(max(ends[0][f"hi{n}"] - ends[1][f"lo{n}"], ends[1][f"hi{n}"] - ends[0][f"lo{n}"]) ** 2 for n in AXES)) * 1.001)
 
 
-def within(points: DataFrame, queries: DataFrame, radius: float, pos: str = "pos", point_id: str = "id", query_id: str = "qid", most: int | None = None) -> DataFrame:
-    """All points no further than ``radius`` from each query: qid, id, d2. ``most``: only so many nearest of each query, ties to the smaller id; column n_all has the full count."""
+def within(points: DataFrame, queries: DataFrame, radius: float, pos: str = "pos", point_id: str = "id", query_id: str = "qid", most: int | None = None, sent_points: int = SENT_POINTS) -> DataFrame:
+    """All points no further than ``radius`` from each query: qid, id, d2. ``most``: only so many nearest of each query, ties to the smaller id; column n_all has the full count.
+
+    Up to ``sent_points`` points are sent to the queries' tasks as one tree, where a query's matches are counted and cut before they leave. With more, points and queries meet on cells as wide as the
+    radius; a cell of over ``CROWD`` points is dealt over portions, to each of which the queries around it are copied, so that no task holds a whole crowd, and each portion keeps ``most`` matches of a query at most.
+    """
     p = points.select(F.col(point_id).alias("id"), F.col(pos).alias("__p"))
     q = queries.select(F.col(query_id).alias("qid"), F.col(pos).alias("__q"))
-    near = _cells(p, "__p", radius, False).join(_cells(q, "__q", radius, True), ["cx", "cy", "cz"])
-    out = near.select("qid", "id", _distance2().alias("d2")).filter(F.col("d2") <= F.lit(radius * radius))
+    if p.limit(sent_points + 1).count() <= sent_points:
+        return _within_sent(p, q, radius, most)
+    cells = ["cx", "cy", "cz"]
+    placed = _cells(p, "__p", radius, False)
+    crowds = _kept(placed.groupBy(*cells).count().filter(F.col("count") > CROWD).select(*cells, F.ceil(F.col("count") / CROWD).alias("portions")))
+    dealt = placed.join(crowds, cells, "left").withColumn("portion", F.coalesce(F.pmod(F.xxhash64("id", "__p"), F.col("portions")), F.lit(0).cast("long"))).drop("portions")
+    asked = _cells(q, "__q", radius, True).join(crowds, cells, "left").withColumn("portion", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("portions", F.lit(1).cast("long")) - 1))).drop("portions")
+    near = dealt.join(asked, [*cells, "portion"])
+    out = near.select("qid", "id", _distance2().alias("d2"), *cells, "portion").filter(F.col("d2") <= F.lit(radius * radius))
     if most is None:
-        return out
+        return out.select("qid", "id", "d2")
+    own = Window.partitionBy("qid", *cells, "portion")
+    first = out.withColumn("__n", F.count(F.lit(1)).over(own)).withColumn("__r", F.row_number().over(own.orderBy("d2", "id"))).filter(F.col("__r") <= most)
     each = Window.partitionBy("qid")
-    ranked = out.withColumn("n_all", F.count(F.lit(1)).over(each)).withColumn("__r", F.row_number().over(each.orderBy("d2", "id")))
-    return ranked.filter(F.col("__r") <= most).drop("__r")
+    ranked = first.withColumn("n_all", F.sum(F.when(F.col("__r") == 1, F.col("__n")).otherwise(0)).over(each)).withColumn("__s", F.row_number().over(each.orderBy("d2", "id")))
+    return ranked.filter(F.col("__s") <= most).select("qid", "id", "d2", "n_all")
+
+
+def _within_sent(p: DataFrame, q: DataFrame, radius: float, most: int | None) -> DataFrame:
+    kinds = {**dict(q.dtypes), **dict(p.dtypes)}
+    shape = f"qid {kinds['qid']}, id {kinds['id']}, d2 double" + (", n_all long" if most is not None else "")
+    if not p.take(1):
+        return p.sparkSession.createDataFrame([], shape)
+    sent = _sent(p)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, tree = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for who, index, d2 in tree.within(_matrix(batch.column(1)), radius):
+                order = np.lexsort((index, d2, who))
+                who, index, d2 = who[order], index[order], d2[order]
+                more = []
+                if most is not None:
+                    first = np.searchsorted(who, who)
+                    n_all = np.searchsorted(who, who, "right") - first
+                    keep = np.arange(len(who)) - first < most
+                    who, index, d2, more = who[keep], index[keep], d2[keep], [pa.array(n_all[keep])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), ids.take(pa.array(index)), pa.array(d2), *more], ["qid", "id", "d2", *["n_all"] * len(more)])
+
+    return q.mapInArrow(look, shape)
+
+
+def nearest_holding(points: DataFrame, queries: DataFrame, half: Column, pos: str = "pos", point_id: str = "id", query_id: str = "qid") -> DataFrame:
+    """The nearest of the points whose box, ``half`` wide to each side of the point, holds the query: qid, id and d2, null where no box does. Boxes are closed; ties go to the smaller id.
+
+    Boxes and queries meet on cells of the power of two next above a box's width, of which a box touches eight at most.
+    """
+    p = points.select(F.col(point_id).alias("id"), F.col(pos).alias("__p"), F.greatest(half.cast("double"), F.lit(1e-12)).alias("__h"))
+    p = _kept(p.withColumn("level", F.ceil(F.log2(F.col("__h") * 2.0)).cast("int")))
+    q = queries.select(F.col(query_id).alias("qid"), F.col(pos).alias("__q"))
+    levels = [r["level"] for r in p.select("level").distinct().collect()]  # exponents of two: some tens at most
+    if not levels:
+        return q.select("qid", F.lit(None).cast(dict(p.dtypes)["id"]).alias("id"), F.lit(None).cast("double").alias("d2"))
+    width = F.pow(F.lit(2.0), F.col("level").cast("double"))
+    for n in AXES:
+        middle = F.col(f"__p.{n}")
+        p = p.withColumn(f"c{n}", F.explode(F.sequence(F.floor((middle - F.col("__h")) / width), F.floor((middle + F.col("__h")) / width))))
+    asked = q.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
+    asked = asked.select("*", *[F.floor(F.col(f"__q.{n}") / width).alias(f"c{n}") for n in AXES])
+    near = p.join(asked, ["level", "cx", "cy", "cz"])
+    for n in AXES:
+        near = near.filter((F.col(f"__q.{n}") >= F.col(f"__p.{n}") - F.col("__h")) & (F.col(f"__q.{n}") <= F.col(f"__p.{n}") + F.col("__h")))
+    best = near.groupBy("qid").agg(F.min(F.struct(_distance2().alias("d2"), "id")).alias("b"))
+    return q.select("qid").join(best, "qid", "left").select("qid", F.col("b.id").alias("id"), F.col("b.d2").alias("d2"))
 
 
 def spread_bits(c: Column) -> Column:

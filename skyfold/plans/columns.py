@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import joined, with_offsets
 from ..conf import EngineConf
 from ..operators.aggregates import total
+from ..shared import shared_folder
 from ..units import BOLTZMANN, ELECTRON, PROTON
 from . import fixture as x
 from .fixture import G, K, lit
@@ -176,7 +177,7 @@ def _round_trip(spark, sf_dir):
     from ..sources.store import Reader, save_snapshot
 
     snap = x.gas(spark, sf_dir)
-    folder = _shared(spark)
+    folder = shared_folder(spark)
     base = f"reduced-{uuid.uuid4().hex}"
     df = snap.types[0].withColumn("row_id", F.col("l_orderkey"))
     snap = snap._with({0: df})
@@ -186,10 +187,4 @@ def _round_trip(spark, sf_dir):
     return _kept(out)
 
 
-def _shared(spark) -> str:
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="skyfold-")
-
-
 add("S18_write_and_read", _round_trip, f"WITH {G} SELECT l_orderkey AS row_id, count(*) AS n, {x.dsum('m')} AS mass, max(m / rho) AS volume FROM g GROUP BY l_orderkey")

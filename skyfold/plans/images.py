@@ -36,6 +36,15 @@ def _nearest_self(spark, sf_dir):
 add("J2_nearest_not_self", _nearest_self, f"WITH {CLOUD} SELECT qid, id, d2 FROM (SELECT a.id AS qid, b.id AS id, {D2} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) AS r FROM p a JOIN p b ON {D2} > 0) WHERE r = 1")
 
 
+def _nearest_self_joined(spark, sf_dir):
+    """As for more points than are sent to the tasks: joins on cells."""
+    points = x.cloud(spark, sf_dir)
+    return neighbors.nearest(points, points.withColumnRenamed("id", "qid"), ignore_self=True, sent_points=0)
+
+
+add("J2_nearest_joined", _nearest_self_joined, ORACLES["J2_nearest_not_self"])
+
+
 def _lattice(spark):
     n = 12
     c = [(F.col("id") % n), (F.floor(F.col("id") / n) % n), F.floor(F.col("id") / (n * n))]
@@ -47,6 +56,10 @@ add("J8_nearest_of_grid", lambda spark, sf_dir: neighbors.nearest(x.cloud(spark,
 add("J3_radius_search", lambda spark, sf_dir: neighbors.within(x.cloud(spark, sf_dir), _lattice(spark), 0.08), f"WITH {CLOUD}, {_GRID} SELECT a.id AS qid, b.id AS id, {D2} AS d2 FROM q a JOIN p b ON {D2} <= {lit(0.08 * 0.08)}")
 add("J3_radius_search_capped", lambda spark, sf_dir: neighbors.within(x.cloud(spark, sf_dir), _lattice(spark), 0.15, most=3), f"WITH {CLOUD}, {_GRID} SELECT qid, id, d2, n_all FROM (SELECT a.id AS qid, b.id AS id, {D2} AS d2, count(*) OVER (PARTITION BY a.id) AS n_all, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) AS r FROM q a JOIN p b ON {D2} <= {lit(0.15 * 0.15)}) WHERE r <= 3")
 
+add("J8_nearest_of_grid_joined", lambda spark, sf_dir: neighbors.nearest(x.cloud(spark, sf_dir), _lattice(spark), sent_points=0), ORACLES["J8_nearest_of_grid"])
+add("J3_radius_search_joined", lambda spark, sf_dir: neighbors.within(x.cloud(spark, sf_dir), _lattice(spark), 0.08, sent_points=0), ORACLES["J3_radius_search"])
+add("J3_radius_capped_joined", lambda spark, sf_dir: neighbors.within(x.cloud(spark, sf_dir), _lattice(spark), 0.15, most=3, sent_points=0), ORACLES["J3_radius_search_capped"])
+
 
 def _morton(spark, sf_dir):
     points = x.cloud(spark, sf_dir)
@@ -136,11 +149,13 @@ a AS (SELECT iy, ix, iz, 0e0 + ({lit(-camera.width / 2)} + (ix + 0.5e0) * {lit(c
 f AS (SELECT iy, ix, iz, value FROM (SELECT a.iy, a.ix, a.iz, b.value, row_number() OVER (PARTITION BY a.iy, a.ix, a.iz ORDER BY {D2}, b.id) AS r FROM a CROSS JOIN c b) WHERE r = 1)"""
 
 
-def _slice(spark, sf_dir):
-    return slices.slice_image(x.cloud(spark, sf_dir), FLAT, "pos", "id", F.lit(VOLUME), {"value": F.col("value")})
+def _slice(**more):
+    return lambda spark, sf_dir: slices.slice_image(x.cloud(spark, sf_dir), FLAT, "pos", "id", F.lit(VOLUME), {"value": F.col("value")}, **more)
+
 
+add("P5_slice", _slice(), f"WITH {CLOUD}, {_reach_sql(0.0)}, {_pixel_sql(FLAT, 1)} SELECT iy, ix, value FROM f")
 
-add("P5_slice", _slice, f"WITH {CLOUD}, {_reach_sql(0.0)}, {_pixel_sql(FLAT, 1)} SELECT iy, ix, value FROM f")
+add("P5_slice_joined", _slice(sent_points=0), ORACLES["P5_slice"])
 
 
 def _stack(additive: bool):
@@ -151,9 +166,12 @@ add("P6_stack_mean", _stack(False), f"WITH {CLOUD}, {_reach_sql(0.4)}, {_pixel_s
 add("P6_stack_additive", _stack(True), f"WITH {CLOUD}, {_reach_sql(0.4)}, {_pixel_sql(DEEP, 8)} SELECT iy, ix, round(sum(value / {lit(VOLUME)}) * {lit(0.4 / 8)}, 6) AS value FROM f GROUP BY iy, ix")
 
 
-def _rays(spark, sf_dir):
-    out = slices.ray_march(x.cloud(spark, sf_dir), DEEP, "pos", "id", F.lit(VOLUME), {"value": F.col("value"), "ones": F.lit(1.0)}, tol=0.5)
-    return out.select("iy", "ix", F.round("value", 6).alias("value"), F.round("ones", 9).alias("ones"))
+def _rays(**more):
+    def query(spark, sf_dir):
+        out = slices.ray_march(x.cloud(spark, sf_dir), DEEP, "pos", "id", F.lit(VOLUME), {"value": F.col("value"), "ones": F.lit(1.0)}, tol=0.5, **more)
+        return out.select("iy", "ix", F.round("value", 6).alias("value"), F.round("ones", 9).alias("ones"))
+
+    return query
 
 
 #: Equal volumes make equal steps, so the march is a sum over known places, the last step cut at the depth.
@@ -163,13 +181,17 @@ _WIDTHS = [min(_STEP, 0.4 - k * _STEP) for k in range(_N)]
 _PLACES = ", ".join(f"({k}, {lit(k * _STEP)}, {lit(w)})" for k, w in enumerate(_WIDTHS))
 add(
     "P7_ray_march",
-    _rays,
+    _rays(),
     f"""WITH {CLOUD}, {_reach_sql(0.4)}, steps(iz, dz, w) AS (VALUES {_PLACES}),
 a AS (SELECT CAST(i // 8 AS INTEGER) AS iy, CAST(i % 8 AS INTEGER) AS ix, iz, w, {lit(-0.2)} + (i % 8 + 0.5e0) * {lit(0.05)} AS x, {lit(-0.2)} + (i // 8 + 0.5e0) * {lit(0.05)} AS y, 0.02e0 - 0.2e0 + dz AS z FROM range(64) t(i), steps),
 f AS (SELECT iy, ix, w, value FROM (SELECT a.iy, a.ix, a.iz, a.w, b.value, row_number() OVER (PARTITION BY a.iy, a.ix, a.iz ORDER BY {D2}, b.id) AS r FROM a CROSS JOIN c b) WHERE r = 1)
 SELECT iy, ix, round(sum(w * value) / 0.4e0, 6) AS value, round(sum(w) / 0.4e0, 9) AS ones FROM f GROUP BY iy, ix""",
 )
 
+add("P7_ray_march_tiled", _rays(sent_points=0), ORACLES["P7_ray_march"])
+#: Steps of twice ``tol`` times the distance to the nearest cell; no SQL, tested against a plain march.
+add("P11_march_by_distance", lambda spark, sf_dir: slices.ray_march(x.cloud(spark, sf_dir), DEEP, "pos", "id", F.lit(VOLUME), {"value": F.col("value")}, tol=0.5, gas=False))
+
 
 def _pixels(spark, sf_dir):
     return PLAIN.pixels(spark).select("iy", "ix", F.col("pos.x").alias("x"), F.col("pos.y").alias("y"))

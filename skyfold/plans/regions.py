@@ -103,7 +103,14 @@ add("A4_cross_sum", lambda spark, sf_dir: agg.angular_momentum(x.particles(spark
 _COM = f"{dsum('m')} AS mass, " + ", ".join(f"{dsum(f'm * {c}')} / {dsum('m')} AS {c}" for c in "xyz")
 add("A5_center_of_mass", lambda spark, sf_dir: x.by_type(spark, sf_dir).center_of_mass(exact=4), f"WITH {G} SELECT CAST({TYPE} AS INTEGER) AS parttype, {_COM} FROM g GROUP BY l_returnflag UNION ALL SELECT NULL, {_COM} FROM g")
 add("A6_angular_momentum", lambda spark, sf_dir: x.by_type(spark, sf_dir).total_angular_momentum(x.CENTER, exact=4), f"WITH {G} SELECT CAST({TYPE} AS INTEGER) AS parttype, {', '.join(f'{dsum(t)} AS {c}' for c, t in _L.items())} FROM g GROUP BY l_returnflag")
-add("A11_limits", lambda spark, sf_dir: x.particles(spark, sf_dir).agg(F.min("EnergyDissipation").alias("lo"), F.max("EnergyDissipation").alias("hi"), F.min(F.when(F.col("ElectronAbundance") > 0, F.col("ElectronAbundance"))).alias("positive")), f"WITH {G} SELECT min(diss) AS lo, max(diss) AS hi, min(CASE WHEN ne > 0 THEN ne END) AS positive FROM g")
+def _limits(spark, sf_dir):
+    """The ends of two columns, as the bin builder takes them; of the second only positive values count."""
+    rows = x.particles(spark, sf_dir)
+    (lo, hi), (positive, _) = agg.limits(rows, F.col("EnergyDissipation")), agg.limits(rows, F.col("ElectronAbundance"), positive=True)
+    return spark.createDataFrame([(lo, hi, positive)], "lo double, hi double, positive double")
+
+
+add("A11_limits", _limits, f"WITH {G} SELECT min(diss) AS lo, max(diss) AS hi, min(CASE WHEN ne > 0 THEN ne END) AS positive FROM g")
 
 # -- histograms
 

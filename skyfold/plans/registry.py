@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import columns, images, regions
+from . import columns, images, metadata, regions
 
-QUERIES = columns.QUERIES | regions.QUERIES | images.QUERIES
-ORACLES = columns.ORACLES | regions.ORACLES | images.ORACLES
+QUERIES = columns.QUERIES | regions.QUERIES | images.QUERIES | metadata.QUERIES
+ORACLES = columns.ORACLES | regions.ORACLES | images.ORACLES | metadata.ORACLES

@@ -228,6 +228,11 @@ class Snapshot:
     def sum_of(self, key: str, exact: int | None = None) -> DataFrame:
         return aggregates.sum_of(self.types[check_key(self.conf.resolve(key))[0]], self.col(key), exact=exact)
 
+    def aggregate(self, name: str, key: str, by: Sequence[str] = ()) -> DataFrame:
+        """A user's aggregate of a key, under its own name, over all rows or by stored columns."""
+        df = self.types[check_key(self.conf.resolve(key))[0]]
+        return df.groupBy(*by).agg(self.conf.user_aggregates[name](self.col(key)).alias(name))
+
     def center_of_mass(self, parttype: int | None = None, exact: int | None = None) -> DataFrame:
         """For each type, and over all types (parttype null) where none is named: one pass over the union of the types."""
         df = self._together(parttype, "Masses", "Coordinates")

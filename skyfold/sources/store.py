@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+
+import numpy as np
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..conf import EngineConf
+from ..functions.bins import centers
 from ..operators.camera import Camera
 from ..snapshot import Snapshot
 from ..timeseries import TimeSeries
@@ -37,6 +41,21 @@ def narrowed(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{n}`").cast(t.replace("double", "float")).alias(n) if "double" in t else F.col(f"`{n}`") for n, t in df.dtypes])
 
 
+@dataclass(frozen=True)
+class Histogram:
+    """A stored histogram: its rows, how it was made, and the edges of its bins by axis."""
+
+    hist: DataFrame
+    logscale: bool
+    normalize: bool
+    colorlabel: str | None = None
+    edges: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def centers(self, axis: str) -> np.ndarray:
+        """Middles of an axis's bins, geometric where the bins are logarithmic."""
+        return centers(self.edges[axis], self.logscale)
+
+
 class Reader:
     """Any folder of this layout. ``to_physical`` applies to every loader."""
 
@@ -96,6 +115,10 @@ class Reader:
         _, _, lower = product.rpartition("Times")
         return ratio(self.load(product), self.load(lower if lower in self.tables() else f"{product.split('_')[0]}_{lower}"))
 
+    def histogram(self) -> Histogram:
+        info = self.meta["hist_info"]
+        return Histogram(self.load("hist"), info["logscale"], info["normalize"], info["colorlabel"], {k: np.asarray(v, float) for k, v in info.get("edges", {}).items()})
+
     def series(self, name: str) -> TimeSeries:
         info = self.meta["series"][name]
         return TimeSeries.of(self.load(name), info["unit"], info["h"], info["comoving"])
@@ -179,11 +202,11 @@ class TimeSeriesWriter(Writer):
         self.meta["series"][name] = {"unit": str(series.unit), "h": series.h, "comoving": series.comoving}
 
 
-def save_histogram(spark: SparkSession, hist: DataFrame, folder: str, base: str, number: int | None = None, logscale: bool = False, normalize: bool = False, label: str | None = None) -> str:
-    """A histogram with how it was made."""
+def save_histogram(spark: SparkSession, hist: DataFrame, folder: str, base: str, number: int | None = None, logscale: bool = False, normalize: bool = False, label: str | None = None, edges: Mapping[str, Sequence[float]] | None = None) -> str:
+    """A histogram with how it was made and the ``edges`` of its bins by axis."""
     w = Writer(spark, folder, base, number)
     w.write_data("hist", hist)
-    w.meta["hist_info"] = {"logscale": logscale, "normalize": normalize, "colorlabel": label}
+    w.meta["hist_info"] = {"logscale": logscale, "normalize": normalize, "colorlabel": label, "edges": {k: [float(x) for x in v] for k, v in (edges or {}).items()}}
     return w.finalize()
 
 

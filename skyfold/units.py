@@ -314,3 +314,14 @@ def stacked(quantities: list[Quantity]) -> Quantity:
 def split_units(unit: Unit) -> tuple[dict[str, Fraction], dict[str, Fraction]]:
     """Physical and cosmological powers of a unit."""
     return unit.physical().powers, unit.cosmic().powers
+
+
+LENGTH_POWERS = {"cm": Fraction(1)}
+
+
+def raw(*quantities: Any) -> list[Any]:
+    """The values alone, of quantities and of plain ones as they are. All that are lengths must have the same unit, powers of a and h included."""
+    lengths = [q.unit for q in quantities if isinstance(q, Quantity) and q.unit.physical().powers == LENGTH_POWERS]
+    if any(u != lengths[0] for u in lengths):
+        raise ValueError("lengths of different units: " + ", ".join(map(str, lengths)))
+    return [q.value if isinstance(q, Quantity) else q for q in quantities]

@@ -12,7 +12,7 @@ from skyfold.conf import EngineConf
 from skyfold.functions.bins import edge_bin, make_edges
 from skyfold.functions.geometry import box, shell
 from skyfold.operators import deposit, neighbors, slices
-from skyfold.operators.cells import CellIndex
+from skyfold.operators.cells import PointTree
 from skyfold.operators.camera import Camera, Script
 from skyfold.operators.histogram import histogram1d, histogram2d
 from skyfold.orientation import Orientation
@@ -142,7 +142,7 @@ def test_nearest_and_radius_against_brute_force(spark):
         assert got == dict(enumerate(apart.argmin(1)))
     inside = {(r["qid"], r["id"]) for r in neighbors.within(frame(p, "id"), frame(q, "qid"), 0.3).collect()}
     assert inside == set(zip(*np.nonzero(d2 <= 0.09)))
-    index = CellIndex(p)
+    index = PointTree(p)
     who, dist = index.nearest(q)
     assert (who == d2.argmin(1)).all() and np.allclose(dist, d2.min(1))
     assert neighbors.nearest(frame(p[:0], "id"), frame(q, "qid")).count() == 0
@@ -284,3 +284,110 @@ def test_stream_histogram_equals_batch(spark, gas, tmp_path):
     q.awaitTermination()
     batch = histogram1d(gas, F.col("Masses"), [0.0, 3.0, 8.0], {"n": F.lit(1.0)})
     assert {r["bin"]: r["n"] for r in spark.table("hist").collect()} == {r["bin"]: r["n"] for r in batch.collect()}
+
+
+def test_point_tree_against_brute_force_on_clusters():
+    """Dense places, places shared by many points and an outlier cost no more than even ones."""
+    rng = np.random.default_rng(2)
+    for n, kind in ((1, 0), (2, 0), (40, 1), (700, 0), (700, 1), (700, 2)):
+        p = rng.normal(size=(n, 3))
+        if kind == 1:
+            p = np.round(p * 2) / 2
+        if kind == 2:
+            p[1:] *= 1e-3
+            p[0] = 1e4
+        q = np.concatenate([rng.normal(size=(150, 3)), p[:60]])
+        if kind == 1:
+            q = np.round(q * 2) / 2
+        d = p[None] - q[:, None]
+        d2 = d[..., 0] ** 2 + d[..., 1] ** 2 + d[..., 2] ** 2
+        tree = PointTree(p)
+        who, far = tree.nearest(q)
+        assert (who == d2.argmin(1)).all() and (far == d2.min(1)).all()
+        apart = np.where(d2 > 0, d2, np.inf)
+        who, far = tree.nearest(q, True)
+        assert (far == apart.min(1)).all() and (who == np.where(np.isfinite(far), apart.argmin(1), -1)).all()
+        found = set()
+        for i, j, x2 in tree.within(q, 0.5):
+            found |= set(zip(i.tolist(), j.tolist(), x2.tolist()))
+        i, j = np.nonzero(d2 <= 0.25)
+        assert found == set(zip(i.tolist(), j.tolist(), d2[i, j].tolist()))
+
+
+def test_clustered_points_within_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    p = np.concatenate([rng.normal(size=(49_999, 3)) * 1e-4, [[1e4, 0.0, 0.0]]])
+    tracemalloc.start()
+    PointTree(p).nearest(rng.normal(size=(5000, 3)) * 1e-4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
+def test_radius_search_splits_crowds(spark):
+    """A crowd in one cell is dealt over portions; counts and cuts are those of all its points."""
+    rng = np.random.default_rng(4)
+    p = np.concatenate([rng.random((1500, 3)) * 0.01, rng.random((200, 3))])
+    q = np.concatenate([rng.random((20, 3)) * 0.01, rng.random((30, 3))])
+    frame = lambda a, name: spark.createDataFrame([(i, Row(x=float(x), y=float(y), z=float(z))) for i, (x, y, z) in enumerate(a)], f"{name} long, pos struct<x:double,y:double,z:double>")
+    d = p[None] - q[:, None]
+    d2 = d[..., 0] ** 2 + d[..., 1] ** 2 + d[..., 2] ** 2
+    for sent in (0, 10_000):
+        got = neighbors.within(frame(p, "id"), frame(q, "qid"), 0.2, sent_points=sent).collect()
+        assert {(r["qid"], r["id"]) for r in got} == set(zip(*np.nonzero(d2 <= 0.2 * 0.2))) and len(got) == (d2 <= 0.2 * 0.2).sum()
+        few = {(r["qid"], r["id"]): r["n_all"] for r in neighbors.within(frame(p, "id"), frame(q, "qid"), 0.2, most=5, sent_points=sent).collect()}
+        want = {}
+        for i, row in enumerate(d2):
+            inside = np.flatnonzero(row <= 0.2 * 0.2)
+            want |= {(i, int(j)): len(inside) for j in inside[np.lexsort((inside, row[inside]))][:5]}
+        assert few == want
+
+
+@pytest.mark.parametrize("gas", [True, False])
+def test_ray_march_against_a_plain_march(spark, gas):
+    """Sent and tiled marches, also where cells are far from a tile and its margin has to grow."""
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.random((60, 3)), 0.4 + 0.02 * rng.random((200, 3))])
+    volume, value = rng.random(260) * 1e-2 + 1e-3, rng.random(260)
+    rows = [(i, Row(x=float(a), y=float(b), z=float(c)), float(v), float(w)) for i, ((a, b, c), v, w) in enumerate(zip(p, volume, value))]
+    df = spark.createDataFrame(rows, "id long, pos struct<x:double,y:double,z:double>, volume double, value double")
+    cam = Camera((0.5, 0.5, 0.5), (1.0, 0.5, 1.0), "z", 8)
+    want = {}
+    for iy in range(4):
+        for ix in range(8):
+            place, z, total = np.array([(ix + 0.5) / 8, 0.25 + (iy + 0.5) / 8, 0.0]), 0.0, 0.0
+            while z < 1.0:
+                far = ((p - place - [0, 0, z]) ** 2).sum(1)
+                k = int(far.argmin())
+                step = max(0.5 * 2.4 * np.cbrt(volume[k] / (4 * np.pi / 3)) if gas else np.sqrt(far[k]), 1e-6)
+                total += min(step, 1.0 - z) * value[k]
+                z += step
+            want[iy, ix] = total
+    for sent in (0, 10_000):
+        got = {(r["iy"], r["ix"]): r["value"] for r in slices.ray_march(df, cam, "pos", "id", F.col("volume"), {"value": F.col("value")}, tol=0.5, gas=gas, sent_points=sent).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+
+
+def test_a_kernel_of_many_pixels():
+    """One kernel in rows of pixels gives what the plain stencil gives; one that is far larger than the image takes the image's memory."""
+    for x, y, h in ((10.3, 7.9, 23.7), (40.2, -3.1, 30.0), (5.5, 5.5, 12.25), (1.01, 15.99, 77.7)):
+        images = []
+        for parts in (deposit._stencils(np.array([x]), np.array([y]), np.array([h]), np.array([5.0]), 32, 16), deposit._wide_stencil(x, y, h, 5.0, 32, 16)):
+            images.append(np.zeros(32 * 16))
+            for flat, share in parts:
+                np.add.at(images[-1], flat, share)
+        assert np.allclose(*images, rtol=1e-12)
+    total = sum(share.sum() for _, share in deposit._stencils(np.array([100.2]), np.array([50.1]), np.array([50_000.0]), np.array([1e9]), 512, 512))
+    assert total == pytest.approx(1e9 * 512**2 / (np.pi * 5e4**2 / 2), rel=1e-3)
+
+
+def test_no_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from skyfold.shared import shared_folder
+
+    session = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError):
+        shared_folder(session)
