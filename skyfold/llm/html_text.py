@@ -359,7 +359,7 @@ def _attribute(attrs: str, name: str) -> str | None:
 
 
 def plain(html: str | None) -> Plain:
-    """Text, links, title and language of a page in one pass.
+    """Text (a line for each block, and after each line break), links, title and language of a page in one pass.
 
     A head goes up to its end tag or the first thing that may not stand in it. Comments, scripts and styles that are not closed go to the end of the page, as does an attribute whose quote is not closed.
     """
@@ -432,7 +432,7 @@ def plain(html: str | None) -> Plain:
                     pieces.append(" ")
                 at = ends[tag]
             continue
-        if not in_head and tag in BLOCKS:
+        if not in_head and (tag in BLOCKS or tag == "br"):
             pieces.append("\n")
     out.text = "\n".join(x for x in (SPACE.sub(" ", line).strip() for line in unescape("".join(pieces)).split("\n")) if x)
     out.title = SPACE.sub(" ", unescape(out.title)).strip()

@@ -21,15 +21,26 @@ from .warc import page_derivatives
 
 
 def op1_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each vector whose vec_id is divisible by 20, by inner product.
+
+    Vectors that are null, zero or hold null or non-finite components take no part; ties go to the smaller vec_id; repeated rows are candidates each; an empty table gives no rows.
+    """
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of each window of 20 that starts earlier in the table, as a digest of what is kept.
+
+    A null text has no words; a null doc_id comes before all others; of repeated rows the later ones lose their words; an empty table gives no rows.
+    """
     return remove_repeats(table(spark, sf_dir, "documents"), window=20, digest=True)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Domains (groups of sources), languages and sources; half of the tokens' volume, four epochs at most."""
+    """Domains (groups of sources), languages and sources; half of the tokens' volume, four epochs at most.
+
+    A null language or source is a node of its own; a null text has no tokens; repeated rows are read or left together; an empty table gives no rows.
+    """
     number = F.regexp_extract(F.coalesce("source", F.lit("")), r"([0-9]+)", 1)
     domain = F.when(number == "", "other").otherwise(F.element_at(F.array(F.lit("web"), F.lit("books"), F.lit("news"), F.lit("forums")), (F.pmod(F.xxhash64(number), F.lit(4)) + 1).cast("int")))
     docs = table(spark, sf_dir, "documents").withColumn("domain", domain)
@@ -39,24 +50,38 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near-equal bytes, from a k-d tree over source, language, length and doc_id.
+
+    A null text has 8 bytes; null metadata sort first; rows that agree in all of it share a shard; an empty table gives no rows.
+    """
     placed = kd_shards(table(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page; empty for a null page or one without content. Repeated rows give repeated results, an empty table none."""
     return main_text(table(spark, sf_dir, "pages"))
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint and the smallest doc_id that it reaches over links of at most two bits.
+
+    Texts without words have fingerprint zero and link like any other; rows with a null doc_id take part in links; repeated rows give repeated results, an empty table none.
+    """
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversion and a metadata record for each page; a null page has an empty body, a null url an empty URI. Repeated rows give repeated records with the same ids, an empty table none."""
     made = page_derivatives(table(spark, sf_dir, "pages"))
     return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "source_digest", "block_digest", F.map_entries("headers").alias("headers"), F.decode("block", "UTF-8").alias("block"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in ten words of a benchmark item, and a digest of the items found.
+
+    A null text has no words; items without words are in no document; items that share an id count once; repeated rows give repeated results, an empty table none.
+    """
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select(
         "doc_id",
@@ -69,10 +94,15 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for each document, learnt from positive labels of the folds that are not held out.
+
+    A null text is scored as an empty one; a null doc_id is held out; without a positive label every score is 0.5; repeated rows give repeated results, an empty table none.
+    """
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), accept=0.3)
 
 
 def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of personal data in each document, and all spans that the classifier accepts. A null text has none; repeated rows give repeated results, an empty table none."""
     found = find_pii(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 

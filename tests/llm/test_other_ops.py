@@ -12,8 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyfold.llm import mixing, pii, pu_quality, warc
-from skyfold.llm.html_text import extract, plain_text
+from skyfold.llm import kd_sharding, mixing, pii, pu_quality, warc
+from skyfold.llm.html_text import extract, plain, plain_text
 from skyfold.llm.kd_sharding import kd_shards
 from skyfold.llm.projection_ann import chi2_cdf, chi2_quantile, nearest
 
@@ -115,7 +115,8 @@ def test_shortage_goes_to_siblings_before_ancestors(spark):
     # en is due 600: b has 50 only, so a reads 550 and de keeps its 300 + 300
     assert got == {("en", "a"): 550, ("en", "b"): 50, ("de", "c"): 300, ("de", "d"): 300}
     short = _tokens(mixing.mix(_corpus(spark, {("en", "a"): 10, ("en", "b"): 5, ("de", "c"): 100, ("de", "d"): 100}), weights=weights, total=1200, max_epochs=1))
-    assert short == {("en", "a"): 100, ("en", "b"): 50, ("de", "c"): 520, ("de", "d"): 520} or short[("de", "c")] + short[("de", "d")] == 1040
+    # en has 150 tokens only, so de reads 1050, of which each source is due 525: whole documents of ten words
+    assert short == {("en", "a"): 100, ("en", "b"): 50, ("de", "c"): 520, ("de", "d"): 520}
 
 
 def test_epochs_are_whole_but_for_the_last(spark):
@@ -132,6 +133,58 @@ def test_epochs_are_whole_but_for_the_last(spark):
     assert {r["doc_id"] for r in other.filter("source = 'c'").collect()} != {r["doc_id"] for r in mixed.filter("source = 'c'").collect()}
 
 
+def _filled(budget, nodes):
+    """Shares of a budget: in proportion to weights, none above its room. ``nodes``: name -> (weight, room)."""
+    out, left = dict.fromkeys(nodes, 0.0), dict(nodes)
+    while left and budget > 0:
+        weight = sum(w for w, _ in left.values())
+        full = {n: room for n, (w, room) in left.items() if room * weight <= w * budget}
+        if not full:
+            return out | {n: w * budget / weight if weight else 0.0 for n, (w, _) in left.items()}
+        out |= full
+        budget -= sum(full.values())
+        left = {n: x for n, x in left.items() if n not in full}
+    return out
+
+
+def test_budgets_and_prefixes_against_a_plain_recursion(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(1, 9))), lang, f"{lang}{k}", 0, 0) for i, (lang, k) in enumerate((lang, rng.choice([0, 0, 0, 1, 2])) for lang in rng.choices(["en", "de", "fr"], [8, 3, 1], k=400))]
+    docs, weights = spark.createDataFrame(rows, DOCS), {("en",): 0.5, ("de",): 0.3, ("*", "de1"): 2.0}
+    size = {r[0]: len(r[1].split()) for r in rows}
+    leaves, power, epochs = {}, 0.5, 2
+    for r in rows:
+        leaves.setdefault((r[2], r[3]), []).append(r[0])
+    tokens = {leaf: sum(size[i] for i in ids) for leaf, ids in leaves.items()}
+    for total in (150, 900, 1800, 10_000):
+        plan = {(r["__l0"], r["__l1"]): r for r in mixing.leaf_plan(docs, ("lang", "source"), weights, total, 1.0, epochs, power).collect()}
+
+        def weighed(paths):
+            own = {p: next((w for key, w in weights.items() if len(key) == len(p) and all(a in ("*", b) for a, b in zip(key, p))), None) for p in paths}
+            amount = {p: sum(t for leaf, t in tokens.items() if leaf[: len(p)] == p) for p in paths}
+            given, rest = [w for w in own.values() if w is not None], [amount[p] ** power for p in paths if own[p] is None]
+            return {p: (own[p] if own[p] is not None else amount[p] ** power / np.mean(rest) * (np.mean(given) if given else 1.0), epochs * amount[p]) for p in paths}
+
+        want = {}
+        for (lang,), budget in _filled(float(total), weighed({leaf[:1] for leaf in leaves})).items():
+            want |= _filled(budget, weighed({leaf for leaf in leaves if leaf[0] == lang}))
+        assert {leaf: r["budget"] for leaf, r in plan.items()} == {leaf: math.floor(round(b, 3)) for leaf, b in want.items()}
+        read = {}
+        for r in mixing.mix(docs, weights=weights, total=total, max_epochs=epochs, power=power).collect():
+            read.setdefault((r["lang"], r["source"]), []).append((r["epoch_"], r["doc_id"]))
+        keyed = docs.select("doc_id", F.col("doc_id").alias("__id"), F.crc32(F.col("text").cast("binary")).alias("__crc"))
+        for leaf, ids in leaves.items():
+            whole, left = divmod(plan[leaf]["budget"], tokens[leaf])
+            order = {r["doc_id"]: r["h"] for r in keyed.select("doc_id", mixing._hash(42, whole).alias("h")).collect()}
+            expected = [(e, i) for e in range(whole) for i in ids]
+            for i in sorted(ids, key=order.get):
+                left -= size[i]
+                if left < 0:
+                    break
+                expected.append((whole, i))
+            assert sorted(read.get(leaf, [])) == sorted(expected)
+
+
 def test_mixing_of_odd_tables(spark):
     rows = [(1, None, None, None, 1, 1), (2, "a b", None, "s", 1, 1), (2, "a b", None, "s", 1, 1), (None, "", "x", None, 1, 1), (5, "word " * 50_000, "x", "y", 1, 1)]
     df = spark.createDataFrame(rows, DOCS)
@@ -160,6 +213,33 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert target <= 51_000
 
 
+def test_shards_follow_the_tree(spark):
+    """Every split of the tree, looked at with all its rows: along the widest dimension, lower places below upper ones, bytes as due."""
+    rng = random.Random(6)
+    dims = ("source", "lang", "doc_id")
+    rows = [(i, "x" * rng.choice([0, 5, 50, 300]), rng.choice(["en", "de", "fr"]), "https://hot.example" if i % 3 else f"https://s{i % 11}.example", 1, 1) for i in range(1500)]
+    df = spark.createDataFrame(rows, DOCS)
+    shards = 11
+    of = {r["doc_id"]: r["shard"] for r in kd_shards(df, shards=shards, dims=dims).collect()}
+    meta = [(r["doc_id"], r["size"], r["tie"], r["c0"], r["c1"], r["c2"]) for r in kd_sharding.metadata(df, dims).collect()]
+    assert len({m[3] for m in meta}) == 12  # what all sources begin with does not hide their differences
+    slack = kd_sharding.TOLERANCE * sum(m[1] for m in meta) / shards + max(m[1] for m in meta)
+
+    def look(mine, first, k):
+        assert {of[m[0]] for m in mine} == set(range(first, first + k))
+        if k == 1:
+            return
+        low, high = ([m for m in mine if (of[m[0]] < first + k // 2) == side] for side in (True, False))
+        wide = [max(m[3 + d] for m in mine) - min(m[3 + d] for m in mine) for d in range(3)]
+        d = wide.index(max(wide))
+        assert max((m[3 + d], m[2]) for m in low) < min((m[3 + d], m[2]) for m in high)
+        assert abs(sum(m[1] for m in low) - sum(m[1] for m in mine) * (k // 2) / k) <= slack
+        look(low, first, k // 2)
+        look(high, first + k // 2, k - k // 2)
+
+    look(meta, 0, shards)
+
+
 def test_sharding_of_odd_tables(spark):
     rows = [(None, None, None, None, None, None), (1, "é", "en", "a", 1, 1), (1, "é", "en", "a", 1, 1), (2, "", None, "b", 1, 1)]
     got = kd_shards(spark.createDataFrame(rows, DOCS), shards=3).collect()
@@ -208,6 +288,103 @@ def test_a_head_ends_without_its_end_tag(head):
     assert extract(f"{head}just text here") == "just text here"
 
 
+TWO = ARTICLE.replace("First", "Another").replace("Second", "Fourth")
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><body><div><a href=1>One</a> <a href=2>Two</a></div><div><h1>The title</h1>{ARTICLE}<p>Short.</p>{TWO}</div><div><a href=3>Three</a><p>fine print</p></div></body></html>",
+        f"<table><tr><td><a href=1>One</a><br><a href=2>Two</a></td><td><h1>The title</h1>{ARTICLE}<p>Short.</p>{TWO}</td></tr></table><center>fine print</center>",
+    ],
+)
+def test_pages_without_any_mark(page):
+    """Ratio, smoothing and threshold alone find the region, with its heading and its short lines."""
+    assert extract(page) == f"The title\n{WANT}\nShort.\n{WANT.replace('First', 'Another').replace('Second', 'Fourth')}"
+
+
+def test_dense_text_outweighs_a_mark_on_little():
+    """A mark adds weight; it does not stand for the clustering."""
+    dense = "".join(f"<p>{'A long sentence of the real story goes on and on. ' * 30}</p>" for _ in range(8))
+    got = extract(f"<body><article><p>Tiny.</p></article><div>{dense}</div></body>")
+    assert got.count("real story") == 240
+
+
+def test_links_inside_an_article_stay():
+    page = "<body><nav><a href=1>Menu</a></nav><article><h1><a href=2>Linked title</a></h1><p>Some words of the story that make a paragraph.</p><p><a href=3>A paragraph that is one link</a></p><p>The end of it, in a few more words.</p><ul><li><a href=4>more</a></li><li><a href=5>of</a></li><li><a href=6>these</a></li></ul></article></body>"
+    assert extract(page) == "Linked title\nSome words of the story that make a paragraph.\nA paragraph that is one link\nThe end of it, in a few more words."
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
+def test_pages_of_the_tables_without_their_marks(spark):
+    """With the marks taken out of the pages the clustering finds the same text on most of them."""
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect() if r["html"]]
+    swaps = (("<article>", "<div>"), ("</article>", "</div>"))
+    more = (*swaps, ("<nav>", "<div>"), ("</nav>", "</div>"), ("<footer>", "<div>"), ("</footer>", "</div>"), ('class="ad"', 'class="x1"'))
+
+    def bare(page, pairs):
+        for a, b in pairs:
+            page = page.replace(a, b)
+        return page
+
+    same = [np.mean([extract(bare(p, pairs)) == extract(p) for p in pages]) for pairs in (swaps, more)]
+    assert same[0] >= 0.9 and same[1] >= 0.8
+
+
+def test_no_markup_raises_and_hostile_pages_take_little_time():
+    import time
+
+    assert extract("<p>a b c</p><![foo]> more text") == "a b c\nmore text" and extract("<p>a b c</p><![foo[bar]]> more text") == "a b c\nmore text"
+    assert extract("<p>x &#" + "9" * 5000 + "; y &#00000000065; &#x1F600;</p>") == "x \ufffd y A \U0001f600"
+    pieces = ["<a ", "<a x=\"' ", "<a x=\"'>", "<!-- ", "<!-- >", "<![CDATA[", "<? ", "</ ", "<div>", "</b>", "<b><i>", "<li>", "<dd></dd>", "<script>", "<title>", "<noscript>", "<head>", "&#", "<", "<html ", "<p ", "<a =", "<template></b>", "<td><p>"]
+    rng = random.Random(3)
+    pages = [x * 20_000 for x in pieces] + [x * 10_000 + y * 10_000 for x, y in zip(pieces, pieces[7:] + pieces[:7])] + ["".join(rng.choices(pieces, k=20_000)) for _ in range(4)]
+    for page in pages:
+        start = time.process_time()
+        extract(page)
+        plain_text(page)
+        assert time.process_time() - start < 20, page[:20]  # the square of 20,000 steps would take minutes
+    start = time.process_time()
+    assert extract("<div>" * 100_000 + "</b>" * 100_000 + "deep text in here") == "deep text in here"
+    assert plain("<a " * 100_000).links == [] and plain("<a href=x>" * 20_000).links == ["x"] * 20_000
+    assert time.process_time() - start < 40
+
+
+def test_links_title_and_text_against_the_parser(spark):
+    """The one pass over a page finds what the standard library's parser finds."""
+    from html.parser import HTMLParser
+
+    class Links(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.links, self.title, self.words, self.skip, self.in_title = [], "", [], 0, False
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("a", "area", "link") and dict(attrs).get("href") is not None:
+                self.links.append(dict(attrs)["href"])
+            self.skip += tag in ("script", "style")
+            self.in_title = self.in_title or tag == "title"
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style")
+            self.in_title = self.in_title and tag != "title"
+
+        def handle_data(self, data):
+            if self.in_title:
+                self.title += data
+            elif not self.skip:
+                self.words += data.split()
+
+    if os.path.isdir(SF):
+        pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect() if r["html"]]
+        for page in pages + ["<body>a<a href='x&amp;y'>b</a><area HREF=z> c<img alt='1 > 2'>d</body>"]:
+            want, got = Links(), plain(page)
+            want.feed(page)
+            want.close()
+            assert got.links == want.links and got.title == " ".join(want.title.split())
+            assert "".join(got.text.split()) == "".join(want.words)
+
+
 def test_pages_without_tags_or_text():
     assert extract(None) == extract("") == extract("<html></html>") == ""
     assert extract("just text &eacute; here") == "just text é here"
@@ -241,7 +418,7 @@ def test_warc_round_trip(spark, tmp_path):
     assert [r.block for r in warc.parse(zipped)] == [r.block for r in back]
     assert [r.block for r in warc.parse(plain[:-60])] == [source.block]  # a damaged tail
     text, meta = warc.derivatives(source)
-    assert text.block.decode() == "A & B\nx\ny link" or text.block.decode() == "x\ny link"
+    assert text.block.decode() == "x\ny link"  # the title is a field of the metadata
     for d in (text, meta):
         assert d.get("WARC-Refers-To") == source.get("WARC-Record-ID") and d.get("WARC-Source-Payload-Digest") == source.get("WARC-Payload-Digest")
         assert d.get("WARC-Block-Digest") == warc.digest(d.block) and d.get("Content-Length") == str(len(d.block))
@@ -253,7 +430,7 @@ def test_warc_round_trip(spark, tmp_path):
     assert derived.count() == 2
     warc.write(derived, str(tmp_path / "out"))
     assert {r["record_id"] for r in warc.read_members(spark, str(tmp_path / "out")).collect()} == {r["record_id"] for r in derived.collect()}
-    assert plain_text("<script>x</script>a<br>b") == "a b" or plain_text("<script>x</script>a<br>b") == "ab"
+    assert plain_text("<script>x</script>a<br>b") == "a\nb"
 
 
 @pytest.mark.parametrize(
@@ -343,9 +520,130 @@ def test_added_spans(spark):
     assert pii.find_pii(df).count() == 9 and pii.find_pii(df.limit(0)).count() == 0
 
 
+def planted(n, seed=5):
+    """Texts with planted candidates that no base pattern is meant for: start, end, and whether it is personal data."""
+    rng = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def of(chars, k):
+        return "".join(rng.choice(chars) for _ in range(k))
+
+    def word():
+        return of("etaoinshrdlu", rng.randint(2, 8))
+
+    def failing():
+        while True:
+            d = of("0123456789", 16)
+            if not _luhn(d):
+                return d
+
+    def hexes(k):
+        return of("0123456789abcdef", k)
+
+    mixed = letters + letters.upper() + "0123456789"
+    true = [
+        lambda: ("mail me at ", f"{word()}.{word()} (at) {word()} (dot) {rng.choice(['org', 'com', 'de'])}"),
+        lambda: ("contact: ", f"{word()}[at]{word()}[dot]net"),
+        lambda: ("host ", f"2001:{':'.join(hexes(4) for _ in range(6))}:a{hexes(3)}"),
+        lambda: ("call ", f"(0{rng.randint(20, 99)}) {rng.randint(200, 999)} {of('0123456789', 4)}"),
+        lambda: ("phone: ", f"{rng.randint(201, 989)}-{rng.randint(200, 999)}-{of('0123456789', 4)}"),
+        lambda: ('token = "', hexes(40)),
+        lambda: ("api_key=", f"sk-{of(mixed, 32)}"),
+        lambda: ("secret: ", f"{of(mixed, 28)}=="),
+        lambda: ("password=", f"Zq7!{of(mixed, 8)}4$k2"),
+    ]
+    false = [
+        lambda: ("order ", failing()),
+        lambda: ("number ", failing()),
+        lambda: ("invoice ", "-".join(re.findall("....", failing()))),
+        lambda: ("commit ", hexes(40)),
+        lambda: ("checksum: ", hexes(32)),
+        lambda: ("see ", hexes(40)),
+        lambda: ("mac ", ":".join(hexes(2) for _ in range(6))),
+        lambda: ("at ", ":".join(of("0123456789", 2) for _ in range(5))),
+        lambda: ("uuid ", "-".join(hexes(k) for k in (8, 4, 4, 4, 12))),
+        lambda: ("path ", "/".join(word() for _ in range(6)) + "42"),
+        lambda: ("name ", "".join(word() for _ in range(6)) + "7"),
+        lambda: ("user ", f"{word()} @ {word()}.{word()}"),
+    ]
+    out = []
+    for _ in range(n):
+        text, marks = " ".join(word() for _ in range(rng.randint(3, 20))) + " ", []
+        for _ in range(rng.randint(0, 2)):
+            yes = rng.random() < 0.5
+            before, span = rng.choice(true if yes else false)()
+            text += before
+            marks.append((len(text), len(text) + len(span), yes))
+            text += span + rng.choice(['" ', " ", ", "]) + " ".join(word() for _ in range(3)) + " "
+        out.append((text, marks))
+    return out
+
+
+def test_added_spans_on_planted_candidates(spark):
+    """Precision and recall of what the votes add: orders, hashes, addresses of cards, times and names are refused."""
+    corpus = planted(1500)
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(corpus)], "doc_id long, text string")
+    spans = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x and x not in r["base"].split(",")] for r in pii.find_pii(df).collect()}
+    right = wrong = missed = 0
+    for i, (_, marks) in enumerate(corpus):
+        for a, b, yes in marks:
+            hit = any(x < b and a < y for x, y in spans[i])
+            right, wrong, missed = right + (hit and yes), wrong + (hit and not yes), missed + (yes and not hit)
+    assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.95
+
+
+def test_digits_that_fail_their_checksum_are_refused(spark):
+    cards = ["4111 1111 1111 1111", "5500005555555559", "340000000000009", "4012888888881881"]
+    rows = [(i, f"text {cards[i % 4]} and more") for i in range(40)] + [(100 + i, f"text 98079157627{i:02d}{i % 7}490 and more") for i in range(60)]
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]["n_card"] == 1 for i in range(40))
+    assert all(got[i]["spans"] == got[i]["base"] for i in range(100, 160)) and sum(got[i]["spans"] == "" for i in range(100, 160)) > 40
+
+
+def test_reliabilities_follow_the_counts():
+    """A labeler that contradicts the others loses its say; counts, not forms, decide."""
+    counts = {"card:0++000:b10": 9000, "card:0--000:l10": 5000, "card:0-+000:l10": 2000, "card:0+-000:l10": 3}
+    model = pii.fit(counts)
+    assert model.score["card:0++000:b10"] > 0.9 and model.score["card:0--000:l10"] < 0.05 and model.score["card:0-+000:l10"] < 0.05
+    check, gazetteer = model.reliability["card"]["check"], model.reliability["card"]["gazetteer"]
+    assert check[0] > 0.95 > 0.8 > gazetteer[0]  # about false candidates
+    assert pii.fit({}).score == {}
+
+
 # -- quality
 
 
+def test_prior_of_known_mixtures():
+    rng = np.random.default_rng(0)
+    for prior in (0.3, 0.6, 0.85):
+        n = 4000
+        good = rng.random(n) < prior
+        x = rng.normal(size=(n, 6)) + np.where(good, 1.5, -1.5)[:, None]
+        positive = good & (rng.random(n) < 0.3)
+        model = pu_quality.fit_rows(x, positive, np.ones(n, bool))
+        assert abs(model.prior - prior) < 0.06
+        accepted = model.score(x) >= 0.3
+        assert (accepted == good).mean() > 0.97
+
+
+def test_positives_alone_beat_the_base_rate(spark):
+    """Only labels 1 are given: accuracy at 0.3 is above that of accepting everything. An id that a third of the rows share is one row of the fit."""
+    rng = random.Random(1)
+    rows, labels = [], []
+    for i in range(3000):
+        good = rng.random() < 0.7
+        w = [rng.choice(["the", "reed", "or", "ing", "then", "hand"]) + rng.choice(["", "er", "ly"]) for _ in range(rng.randrange(20, 80))]
+        rows.append((i if i % 3 else 7_777_777, " ".join(w).capitalize() + "." if good else " ".join(x.upper() + "!!" for x in w), good))
+        if good and i % 3 and i % 2:
+            labels.append((i, 1, 0))
+    labels.append((7_777_777, 1, 0))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, good boolean"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = pu_quality.score(docs, marks, keep=("good",)).collect()
+    right = np.mean([(r["predicted"] == 1) == r["good"] for r in got])
+    assert len(got) == 3000 and right > 0.9 > np.mean([r["good"] for r in got])
+
+
+
 def test_classifier_on_labels_held_out(spark):
     rng = random.Random(0)
     rows, labels = [], []
@@ -378,6 +676,46 @@ def test_quality_of_odd_tables(spark):
 # -- the pipeline
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
+def test_stages_on_odd_tables(spark):
+    """Nulls in all columns, empty and long texts, repeated rows, columns whose names the operators use, and no rows at all."""
+    import corpus_pipeline
+
+    names = "doc_id long, text string, lang string, source string, n_chars long, shard int, score double, copy string, node long, u long, v long, epoch int, hits binary, none boolean"
+    prose = spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars > 300").orderBy("doc_id").first()["text"]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("length(text) > 200").orderBy("item_id").first()["text"]
+    rest = (3, 0.5, "c", 1, 2, 3, 4, b"h", True)
+    rows = [
+        (None,) * 14,
+        (1, None, None, None, None, *rest),
+        (2, "", "en", "a", 0, *rest),
+        (3, " \n\t", "en", "a", 3, *rest),
+        (4, prose, "en", "a", len(prose), *rest),
+        (4, prose, "en", "a", len(prose), *rest),
+        (None, prose, "en", "a", len(prose), *rest),
+        (5, prose + " one more word", "en", None, 9, *rest),
+        (6, f"{prose[:200]} {item}", "en", "b", 9, *rest),
+        (7, "word " * 100_000, None, "b", 9, *rest),
+    ]
+    docs = spark.createDataFrame(rows, names)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        empty = stage(spark, docs.limit(0), SF)
+        got = out.collect()
+        assert empty.count() == 0, name
+        if name == "shards":
+            assert len(got) == len(rows) and sorted(r["size"] for r in got)[:3] == [8, 8, 8]
+            continue
+        assert out.columns == docs.columns and empty.columns == docs.columns, name
+        ids = [r["doc_id"] for r in got]
+        if name == "near_duplicates":
+            assert sorted(i for i in ids if i is not None) == [1, 4, 6, 7]  # blank texts are one group, and so are the copies
+        if name == "decontaminate":
+            assert 6 not in ids and len(ids) == len(rows) - 1
+        if name == "mixture":
+            assert len(set(map(tuple, got)) - set(map(tuple, docs.collect()))) == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
