@@ -37,19 +37,30 @@ def _keys(docs: DataFrame, levels: tuple[str, ...]) -> list[Column]:
     return [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(f"__l{i}") for i, c in enumerate(levels)]
 
 
-def _share(df: DataFrame, group: list[str], budget: Column, weight: Column, room: Column, out: str) -> DataFrame:
-    """Water-filling in each group: shares in proportion to weight, none above its room, together the budget or all room."""
-    df = df.withColumn("__b", budget).withColumn("__w", F.greatest(weight, F.lit(0.0))).withColumn("__c", room)
-    order = Window.partitionBy(*group).orderBy(F.try_divide("__c", "__w").asc_nulls_last(), *[c for c in df.columns if c.startswith("__l")])
-    before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    df = df.withColumn("__used", F.coalesce(F.sum("__c").over(before), F.lit(0.0))).withColumn("__rest", F.sum("__w").over(rest))
-    df = df.withColumn("__full", (F.col("__w") > 0) & (F.col("__c") * F.col("__rest") <= F.col("__w") * (F.col("__b") - F.col("__used"))))
-    whole = Window.partitionBy(*group)
-    left = F.col("__b") - F.sum(F.when(F.col("__full"), F.col("__c")).otherwise(0.0)).over(whole)
-    open_ = F.sum(F.when(F.col("__full"), 0.0).otherwise(F.col("__w"))).over(whole)
-    df = df.withColumn("__rate", F.try_divide(left, open_))
-    share = F.when(F.col("__full"), F.col("__c")).otherwise(F.least(F.col("__c"), F.coalesce(F.col("__w") * F.greatest(F.col("__rate"), F.lit(0.0)), F.lit(0.0))))
-    return df.withColumn(out, share).drop("__b", "__w", "__c", "__used", "__rest", "__full", "__rate")
+def _rates(nodes: DataFrame, group: list[str]) -> DataFrame:
+    """``group`` and __rate, the tokens for each unit of weight at which the group's shares, none above its room, add up to its budget; infinite where all rooms together are no more.
+
+    ``nodes``: group, __b (budget, one for each group), __w (weight) and __c (room). A group's nodes are never sorted in one task: sums by steps of room over weight show the step in which the rate lies,
+    sums by the different values in that step the rate itself.
+    """
+    ratio = F.col("__c") / F.col("__w")
+    step = F.when(ratio > 0, F.floor(F.log2(ratio) * 16)).otherwise(F.lit(-(1 << 30))).cast("long")
+    live = nodes.filter("__w > 0").select(*group, "__b", "__w", "__c", ratio.alias("__t"), step.alias("__k"))
+    sums = live.groupBy(*group, "__k").agg(F.sum("__c").alias("c"), F.sum("__w").alias("w"), F.min("__t").alias("t"), F.max("__b").alias("b"))
+    order = Window.partitionBy(*group).orderBy("__k")
+    sums = sums.withColumn("used", F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("later", F.coalesce(F.sum("w").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)))
+    # the last step whose least ratio the rate reaches, with all below it full
+    reached = F.when(F.col("used") + F.col("t") * (F.col("w") + F.col("later")) <= F.col("b"), F.struct("__k", "used", "later"))
+    edge = sums.groupBy(*group).agg(F.max(reached).alias("e"), F.sum("w").alias("all"), F.max("b").alias("b"))
+    at = edge.filter("e IS NOT NULL").select(*group, F.col("e.__k").alias("__k"), F.col("e.used").alias("used"), F.col("e.later").alias("later"))
+    each = live.join(at, [*group, "__k"]).groupBy(*group, "__t").agg(F.sum("__c").alias("c"), F.sum("__w").alias("w"), F.max("__b").alias("b"), F.max("used").alias("used"), F.max("later").alias("later"))
+    order = Window.partitionBy(*group).orderBy("__t")
+    each = each.withColumn("before", F.col("used") + F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("open", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)) + F.col("later"))
+    full = F.col("__t") * F.col("open") <= F.col("b") - F.col("before")
+    inside = each.groupBy(*group).agg(F.max("used").alias("used"), F.sum(F.when(full, F.col("c")).otherwise(0.0)).alias("c"), F.sum(F.when(full, 0.0).otherwise(F.col("w"))).alias("w"), F.max("later").alias("later"))
+    inside = inside.select(*group, (F.col("used") + F.col("c")).alias("inner"), (F.col("w") + F.col("later")).alias("open"))
+    rate = F.when(F.col("open").isNull(), F.col("b") / F.col("all")).when(F.col("open") > 0, (F.col("b") - F.col("inner")) / F.col("open")).otherwise(F.lit(float("inf")))
+    return edge.select(*group, "b", "all").join(inside, group, "left").select(*group, F.greatest(rate, F.lit(0.0)).alias("__rate"))
 
 
 def budgets(leaves: DataFrame, n_levels: int, weights: Mapping[tuple[str, ...], float], total: float | None, share: float, max_epochs: int, power: float) -> DataFrame:
@@ -58,12 +69,13 @@ def budgets(leaves: DataFrame, n_levels: int, weights: Mapping[tuple[str, ...],
     ``weights``: weight of a node among its siblings by its path from the root; a node without one weighs its tokens to the ``power``.
     """
     names = [f"__l{i}" for i in range(n_levels)]
-    df = leaves.withColumn("__room0", (F.col("tokens") * F.lit(max_epochs)).cast("double"))
+    df = leaves.withColumn("__room0", (F.col("tokens") * F.lit(max_epochs)).cast("double")).withColumn("__all", F.lit(0))
     everything = df.agg(F.sum("tokens").alias("t")).first()["t"] or 0
     df = df.withColumn("__budget", F.lit(float(total if total is not None else share * everything)))
     for level in range(n_levels):
         path = names[: level + 1]
-        nodes = df.groupBy(*path).agg(F.sum("tokens").alias("__t"), F.sum("__room0").alias("__r"), F.max("__budget").alias("__from"))
+        group = ["__all", *path[:-1]]
+        nodes = df.groupBy("__all", *path).agg(F.sum("tokens").alias("__t"), F.sum("__room0").alias("__c"), F.max("__budget").alias("__b"))
         given = F.lit(None).cast("double")
         for key, w in weights.items():
             if len(key) == level + 1:
@@ -71,18 +83,16 @@ def budgets(leaves: DataFrame, n_levels: int, weights: Mapping[tuple[str, ...],
                 for name, part in zip(path, key):
                     same = same & ((F.col(name) == part) if part != "*" else F.lit(True))
                 given = F.coalesce(given, F.when(same, F.lit(float(w))))
-        parent = path[:-1]
         default = F.pow(F.col("__t").cast("double"), F.lit(power))
         # nodes without a weight divide, by size, what one average given weight leaves them
         nodes = nodes.withColumn("__g", given)
-        group = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-        each = F.avg("__g").over(group)
-        base = F.avg(F.when(F.col("__g").isNull(), default)).over(group)
-        weight = F.coalesce(F.col("__g"), F.try_divide(default, base) * F.coalesce(each, F.lit(1.0)), F.lit(0.0))
-        nodes = nodes.withColumn("__weight", weight).withColumn("__all", F.lit(0))
-        nodes = _share(nodes, parent or ["__all"], F.col("__from"), F.col("__weight"), F.col("__r"), "__next")
-        df = df.join(nodes.select(*path, "__next"), path).drop("__budget").withColumnRenamed("__next", "__budget")
-    return df.withColumn("budget", F.floor(F.round("__budget", 3)).cast("long")).drop("__budget", "__room0")
+        means = nodes.groupBy(*group).agg(F.avg("__g").alias("__each"), F.avg(F.when(F.col("__g").isNull(), default)).alias("__base"))
+        weight = F.coalesce(F.col("__g"), F.try_divide(default, F.col("__base")) * F.coalesce(F.col("__each"), F.lit(1.0)), F.lit(0.0))
+        nodes = cut(nodes.join(means, group).withColumn("__w", F.greatest(weight, F.lit(0.0))).select("__all", *path, "__b", "__w", "__c"))
+        due = F.when(F.col("__w") > 0, F.least(F.col("__c"), F.col("__w") * F.col("__rate"))).otherwise(0.0)
+        given_out = nodes.join(_rates(nodes, group), group, "left").select("__all", *path, F.coalesce(due, F.lit(0.0)).alias("__next"))
+        df = df.join(given_out, ["__all", *path]).drop("__budget").withColumnRenamed("__next", "__budget")
+    return df.withColumn("budget", F.floor(F.round("__budget", 3)).cast("long")).drop("__budget", "__room0", "__all")
 
 
 def leaf_plan(docs: DataFrame, levels: tuple[str, ...], weights: Mapping[tuple[str, ...], float], total: float | None = None, share: float = 1.0, max_epochs: int = 4, power: float = 0.5, seed: int = 42) -> DataFrame:
