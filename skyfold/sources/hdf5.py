@@ -2,6 +2,7 @@
 
     spark.dataSource.register(Hdf5Source)
     spark.read.format("particle_hdf5").option("group", "PartType0").load("snap_000.0.hdf5")
+    snapshot(spark, locate("/data/run", 0, "snap"))
 
 Each input partition is one range of rows of one file; a column is read only where the schema asks for it.
 """
@@ -9,12 +10,17 @@ Each input partition is one range of rows of one file; a column is read only whe
 from __future__ import annotations
 
 import glob
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..conf import EngineConf
+from ..snapshot import Snapshot
+
 ROWS = 1_000_000
 
 
@@ -29,6 +35,46 @@ def paths_of(path: str) -> list[str]:
     return sorted(found, key=lambda p: (len(p), p))
 
 
+def locate(folder: str, number: int | None, base: str = "snap", kind: str = "snapdir") -> str:
+    """The path of a snapshot (or, with another ``kind`` of folder, of a catalogue): one file, numbered files in a folder of their own, or numbered files side by side."""
+    name = base if number is None else f"{base}_{number:03d}"
+    for path in (f"{folder}/{name}.hdf5", f"{folder}/{kind}_{number or 0:03d}/{name}", f"{folder}/{name}"):
+        if paths_of(path):
+            return path
+    raise FileNotFoundError(f"no {name} in {folder}")
+
+
+def metadata(path: str) -> dict[str, dict]:
+    """Header, parameters and config of the first file, as plain numbers, strings and lists."""
+    import h5py
+
+    out = {}
+    with h5py.File(paths_of(path)[0], "r") as f:
+        for name in ("Header", "Parameters", "Config"):
+            attributes = dict(f[name].attrs) if name in f else {}
+            out[name.lower()] = {k: v.decode() if isinstance(v, bytes) else v.tolist() if hasattr(v, "tolist") else v for k, v in attributes.items()}
+    return out
+
+
+def snapshot(spark: SparkSession, path: str, conf: EngineConf | None = None) -> Snapshot:
+    """All particle types of a snapshot. Raises where a type has another number of rows than the header says."""
+    import h5py
+
+    spark.dataSource.register(Hdf5Source)
+    about, rows = metadata(path), {}
+    for one in paths_of(path):
+        with h5py.File(one, "r") as f:
+            for name in f:
+                found = re.fullmatch(r"PartType(\d)", name)
+                if found and len(f[name]):
+                    rows[int(found[1])] = rows.get(int(found[1]), 0) + len(next(iter(f[name].values())))
+    for t, n in enumerate(about["header"].get("NumPart_Total", [])):
+        if rows.get(t, 0) != n:
+            raise ValueError(f"type {t} has {rows.get(t, 0)} rows, the header says {n}")
+    types = {t: spark.read.format("particle_hdf5").option("group", f"PartType{t}").load(path) for t in sorted(rows)}
+    return Snapshot(types, about["header"], about["parameters"], about["config"], conf)
+
+
 class Hdf5Source(DataSource):
     @classmethod
     def name(cls) -> str:
