@@ -20,28 +20,34 @@ MIX_SHARE = 0.95
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts. A null text counts as empty; repeated rows stay or go together; an empty table stays empty."""
     return pu_quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: shingles of five words, a similarity of 0.8 or more."""
+    """One document of each group of near duplicates: shingles of five words, a similarity of 0.8 or more.
+
+    The smallest doc_id stays, a null one last; texts without words are one group; of repeated rows one stays; an empty table stays empty.
+    """
     return near_text.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no ten words of a benchmark item."""
+    """Documents that hold no ten words of a benchmark item. Texts without words stay; repeated rows stay or go together; an empty table stays empty."""
     return suffix_decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each leaf's prefix of one seeded epoch: languages, then sources, weigh the square root of their tokens."""
+    """Each leaf's prefix of one seeded epoch: languages, then sources, weigh the square root of their tokens.
+
+    A null language or source is a node of its own; a null text has no tokens; repeated rows stay or go together; an empty table stays empty.
+    """
     mixed = mixing.mix(docs, levels=("lang", "source"), share=MIX_SHARE, max_epochs=1, power=0.5)
     return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of what is left."""
+    """doc_id, size, text_crc32, shard and slot of what is left. A null text has 8 bytes; null metadata come first; repeated rows have a slot each; an empty table stays empty."""
     return kd_sharding.kd_shards(docs, shards=SHARDS)
 
 
