@@ -249,7 +249,10 @@ def score(docs: DataFrame, labels: DataFrame, accept: float = 0.3, max_rows: int
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, accept: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with their own columns."""
+    """The rows of ``docs`` that the classifier accepts, with their own columns.
+
+    Null and empty texts are scored as empty ones. Repeated rows stay or go together, whatever their doc_id; without a positive label all rows stay. An empty table gives an empty result.
+    """
     names = docs.columns
     got = score(docs, labels, accept, keep=tuple(names))
     return got.toDF(*names, "__held", "__score", "__ok").filter("__ok = 1").select(*names)

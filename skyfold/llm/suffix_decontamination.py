@@ -22,8 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .spark_util import cut
 
 BLOCK_BYTES = 8 << 20
+#: Rounds after which what was found is written out with its texts, so that the driver holds so many blocks at most.
+ROUNDS_A_CUT = 16
 #: Text of a shard; its arrays take some 40 times as much.
 SHARD_BYTES = 2 << 20
 
@@ -329,6 +332,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_byt
         test = ItemBlock.of([(r["item"], r["text"]) for r in part.toLocalIterator()], window)
         if k < rounds - 1:
             out = out.mapInArrow(lambda it, t=test: _search(it, t, window), fields)
+            if (k + 1) % ROUNDS_A_CUT == 0:
+                out = cut(out)
         else:
             # the last round also finishes its rows: one Python worker for each task, not two
             out = out.mapInArrow(lambda it, t=test: (_finished(b, list(names.values())) for b in _search(it, t, window)), result)
