@@ -4,7 +4,8 @@ A window is ``window`` consecutive words. Instead of hashing every window of the
 ``window - period + 1`` words are hashed only at the positions of a difference cover modulo
 ``period``: whatever the two places of a repeated window are, some shift below ``period`` brings both
 onto the cover, so both places hold the same anchor. Only windows around an anchor that occurs twice
-are then extended to full windows and compared exactly (128-bit hashes).
+are then extended to full windows and compared by 96 bits of hash. Both parts are made of 64-bit
+hashes of the words, so two different words with equal hashes (a chance of 1 in 2^64 a pair) count as one word.
 
 Plan, each step over hash-dealt blocks of a few MB of text:
 
@@ -46,11 +47,10 @@ def period_for(window: int) -> int:
 
 
 def _ordered(docs: pa.Table) -> pa.Table:
-    """A block's rows by (doc_id, text), the same in each pass; a null doc_id comes first."""
-    ids = docs.column("doc_id").fill_null(NO_ID)
-    docs = docs.set_column(docs.schema.get_field_index("doc_id"), "doc_id", ids)
-    order = np.argsort(ids.to_numpy(), kind="stable")
-    ids = ids.to_numpy()[order]
+    """A block's rows by (doc_id, text), the same in each pass."""
+    ids = docs.column("doc_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
     if len(ids) > 1 and (ids[1:] == ids[:-1]).any():
         return docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return docs.take(pa.array(order))
@@ -199,13 +199,16 @@ def remove_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_B
     earlier start. One row for each input row: doc_id, n_words, n_removed and kept_text (kept words joined by
     one space), or with ``digest`` the kept text's SHA-256 in its place.
 
-    A null text has no words. A null doc_id counts as smaller than any other and stays null. Rows that
-    share a doc_id are ordered by text; of repeated rows the later ones lose their words. An empty table gives an empty result.
+    A null text has no words. A null doc_id counts as smaller than any other and stays null; such rows are ordered, and dealt over blocks, by a hash of their text. Rows that
+    share a doc_id are one block and ordered by text; of repeated rows the later ones lose their words. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     n = blocks_for(spark, text_bytes(docs), block_bytes)
     step = _Anchors(window, n)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block")).repartition(n, "block")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col("doc_id").cast("long").isNull().alias("none"))
+    rows = rows.withColumn("doc_id", F.when(F.col("none"), F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))).otherwise(F.col("doc_id")))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "block")
     blobs, keys, runs = "bucket int, block int, blob binary", "block int, keys binary", "block int, runs binary"
     again = dealt.groupBy("block").applyInArrow(lambda t: step.send(t), blobs).groupBy("bucket").applyInArrow(lambda t: step.again(t), keys)
     places = dealt.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(lambda a, b: step.extend(a, b), blobs)
@@ -229,8 +232,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, block_bytes: int = BLOCK_B
                     text = b" ".join(all_words if not dropped else [w for w, g in zip(all_words, gone[a:b].tolist()) if not g])
                 kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
                 counts.append((int(b - a), dropped))
-        ids = block.column("doc_id")
-        ids = pa.array([None if x == NO_ID else x for x in ids.to_pylist()], pa.int64())
+        none = block.column("none").to_numpy() if len(block) else np.zeros(0, bool)
+        ids = pa.array(block.column("doc_id").to_numpy(), mask=none.astype(bool)) if len(block) else pa.array([], pa.int64())
         return pa.table({"doc_id": ids, "n_words": pa.array([c[0] for c in counts], pa.int64()), "n_removed": pa.array([c[1] for c in counts], pa.int64()), "kept_sha256" if digest else "kept_text": pa.array(kept, pa.string())})
 
     return dealt.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(finish, DIGEST if digest else RESULT)

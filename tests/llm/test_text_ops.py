@@ -94,8 +94,18 @@ def test_substring_dedup_of_odd_tables(spark):
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_removed"]) for r in rows) == [(False, 0, 0), (True, 1, 30), (True, 1, 30), (True, 2, 0)]
 
 
+def test_null_ids_are_dealt_over_blocks(spark):
+    """Rows without an id come before all others, and of each repeated passage among them one stays."""
+    passage = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(3)]
+    rows = [(None, f"{passage[k % 3]} own{k} " + " ".join(f"t{k}x{i}" for i in range(25))) for k in range(30)] + [(5, passage[0]), (-(1 << 62), passage[1])]
+    got = remove_repeats(_docs(spark, rows), block_bytes=500).collect()
+    assert sum(r["doc_id"] is None for r in got) == 30
+    assert sorted(r["n_removed"] for r in got if r["doc_id"] is None) == [0] * 3 + [30] * 27
+    assert all(r["n_removed"] == 30 and r["kept_text"] == "" for r in got if r["doc_id"] is not None)
+
+
 def test_xxh64_of_spans():
-    data = np.frombuffer(b"the quick brown fox jumps over the lazy dog, again and again and again", np.uint8)
+    data = np.frombuffer(b"the quick brown fox jumps over the lazy dog, again and again and again and again, for more than a hundred bytes", np.uint8)
     starts, ends = zip(*[(a, b) for a in range(0, len(data), 3) for b in range(a, len(data) + 1)])
     got = xxh64_spans(data, np.array(starts), np.array(ends))
     raw = data.tobytes()
