@@ -45,6 +45,15 @@ def _nearest_self_joined(spark, sf_dir):
 add("J2_nearest_joined", _nearest_self_joined, ORACLES["J2_nearest_not_self"])
 
 
+def _nearest_of_sorted(spark, sf_dir):
+    """Points in the order of their Morton keys are found under their own ids."""
+    points = x.cloud(spark, sf_dir)
+    return neighbors.nearest(neighbors.clustered(points, "pos", 4), points.withColumnRenamed("id", "qid"), ignore_self=True)
+
+
+add("T10_ids_of_sorted_points", _nearest_of_sorted, ORACLES["J2_nearest_not_self"])
+
+
 def _lattice(spark):
     n = 12
     c = [(F.col("id") % n), (F.floor(F.col("id") / n) % n), F.floor(F.col("id") / (n * n))]
@@ -104,6 +113,17 @@ _R = [f"({_D[0]} * {lit(r[0])} + {_D[1]} * {lit(r[1])} + {_D[2]} * {lit(r[2])})"
 add("P3_project_oriented", _project(TURNED), f"WITH {G}, {_deposit_sql(TURNED, _R[0], _R[1], ' AND '.join(f'abs({r}) < 15e0' for r in _R), 6)}")
 
 
+def _reselected(spark, sf_dir):
+    """A camera that moves and zooms selects anew; the rows of the first one are not narrowed further."""
+    rows = x.particles(spark, sf_dir)
+    views = [("first", PLAIN), ("zoomed", PLAIN.zoom(2.0)), ("moved", PLAIN.zoom(2.0).move(width=5.0, height=-5.0)), ("back", PLAIN.zoom(2.0).zoom(0.5))]
+    return rows.select(*[F.sum(c.region(F.col("Coordinates")).cast("long")).alias(n) for n, c in views])
+
+
+_VIEW = "CAST(sum(CASE WHEN abs(x - {0}e0) < {2}e0 AND abs(y - {1}e0) < {2}e0 AND abs(z - 25e0) < {3}e0 THEN 1 ELSE 0 END) AS BIGINT)"
+add("P13_reselection", _reselected, f"WITH {G} SELECT {_VIEW.format(25, 25, 20, 22)} AS first, {_VIEW.format(25, 25, 10, 11)} AS zoomed, {_VIEW.format(30, 20, 10, 11)} AS moved, {_VIEW.format(25, 25, 20, 22)} AS back FROM g")
+
+
 def _nested(spark, sf_dir):
     """Whole millionths shared out by powers of four are exact, so the image does not depend on order."""
     return deposit.project_nested(x.particles(spark, sf_dir), FINE, F.col("Coordinates"), _size(), F.col("Masses"), factor=2, npix_min=8, per_area=False, micro=True)
