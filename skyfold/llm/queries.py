@@ -104,7 +104,7 @@ def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base spans of personal data in each document, and all spans that the classifier accepts. A null text has none; repeated rows give repeated results, an empty table none."""
     found = find_pii(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long").alias("n_spans"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
