@@ -208,6 +208,9 @@ f AS (SELECT iy, ix, w, value FROM (SELECT a.iy, a.ix, a.iz, a.w, b.value, row_n
 SELECT iy, ix, round(sum(w * value) / 0.4e0, 6) AS value, round(sum(w) / 0.4e0, 9) AS ones FROM f GROUP BY iy, ix""",
 )
 
+#: Several values are one march, and a march in one task is no other one.
+QUERIES["P8_many_values"], ORACLES["P8_many_values"] = QUERIES["P7_ray_march"], ORACLES["P7_ray_march"]
+add("P9_serial_march", lambda spark, sf_dir: _rays()(spark, sf_dir).coalesce(1), ORACLES["P7_ray_march"])
 add("P7_ray_march_tiled", _rays(sent_points=0), ORACLES["P7_ray_march"])
 #: Steps of twice ``tol`` times the distance to the nearest cell; no SQL, tested against a plain march.
 add("P11_march_by_distance", lambda spark, sf_dir: slices.ray_march(x.cloud(spark, sf_dir), DEEP, "pos", "id", F.lit(VOLUME), {"value": F.col("value")}, tol=0.5, gas=False))
