@@ -44,7 +44,7 @@ WEIGHTS = (1.0, 4.0, 16.0)
 HOLDS, MENU = 0.8, 3
 #: Words of class, id and role that mark what is no article.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adsby\w*|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|sidebar\w*|side|aside|widget\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|newsletter|subscribe|signup|login|share\w*|sharing|social\w*|related|recommend\w*|comments?(?:list|area|box|section|thread|form|body|text)?|replies|reply|disqus|respond|pagination|pager|search\w*|copyright|legal|skip|toolbar|tags?cloud|complementary|contentinfo|navigation|dialog)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adsby\w*|advert\w*|adbox|banner|sponsor\w*|promo\w*|teasers?|trending|outbrain|taboola|disclaimer|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|sidebar\w*|side|aside|widget\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|newsletter|subscribe|signup|login|share\w*|sharing|social\w*|related|recommend\w*|comments?(?:list|area|box|section|thread|form|body|text)?|replies|reply|disqus|respond|responses?|reactions?|pagination|pager|search\w*|copyright|legal|skip|toolbar|tags?cloud|complementary|contentinfo|navigation|dialog)(?:$|[\s_-])",
     re.I,
 )
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article(?:body)?|post(?:-?(?:body|content))?|entry(?:-?content)?|story(?:-?body)?|main-?content|content-?(?:body|main))(?:$|[\s_-])", re.I)
