@@ -147,42 +147,50 @@ def _filled(budget, nodes):
     return out
 
 
+def plain_mixture(docs, rows, weights, total, epochs, power):
+    """Budgets by leaf, and the pairs (epoch, doc_id) that a mixture over lang and source reads. ``rows``: (doc_id, tokens, lang, source)."""
+    size = {r[0]: r[1] for r in rows}
+    leaves = {}
+    for r in rows:
+        leaves.setdefault((r[2], r[3]), []).append(r[0])
+    tokens = {leaf: sum(size[i] for i in ids) for leaf, ids in leaves.items()}
+
+    def weighed(paths):
+        own = {p: next((w for key, w in weights.items() if len(key) == len(p) and all(a in ("*", b) for a, b in zip(key, p))), None) for p in paths}
+        amount = {p: sum(t for leaf, t in tokens.items() if leaf[: len(p)] == p) for p in paths}
+        given, rest = [w for w in own.values() if w is not None], [amount[p] ** power for p in paths if own[p] is None]
+        return {p: (own[p] if own[p] is not None else amount[p] ** power / np.mean(rest) * (np.mean(given) if given else 1.0), epochs * amount[p]) for p in paths}
+
+    want = {}
+    for (lang,), budget in _filled(float(total), weighed({leaf[:1] for leaf in leaves})).items():
+        want |= _filled(budget, weighed({leaf for leaf in leaves if leaf[0] == lang}))
+    budgets = {leaf: math.floor(round(b, 3)) for leaf, b in want.items()}
+    whole = {leaf: budgets[leaf] // max(1, tokens[leaf]) for leaf in leaves}
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", F.col("doc_id").alias("__id"), F.crc32(text.cast("binary")).alias("__crc"))
+    order = {r["doc_id"]: r for r in keyed.select("doc_id", *[mixing._hash(42, e).alias(f"h{e}") for e in sorted(set(whole.values()))]).collect()}
+    read = set()
+    for leaf, ids in leaves.items():
+        left = budgets[leaf] - whole[leaf] * tokens[leaf]
+        read |= {(e, i) for e in range(whole[leaf]) for i in ids}
+        for i in sorted(ids, key=lambda i: order[i][f"h{whole[leaf]}"]):
+            left -= size[i]
+            if left < 0:
+                break
+            read.add((whole[leaf], i))
+    return budgets, read
+
+
 def test_budgets_and_prefixes_against_a_plain_recursion(spark):
     rng = random.Random(7)
     rows = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(1, 9))), lang, f"{lang}{k}", 0, 0) for i, (lang, k) in enumerate((lang, rng.choice([0, 0, 0, 1, 2])) for lang in rng.choices(["en", "de", "fr"], [8, 3, 1], k=400))]
     docs, weights = spark.createDataFrame(rows, DOCS), {("en",): 0.5, ("de",): 0.3, ("*", "de1"): 2.0}
-    size = {r[0]: len(r[1].split()) for r in rows}
-    leaves, power, epochs = {}, 0.5, 2
-    for r in rows:
-        leaves.setdefault((r[2], r[3]), []).append(r[0])
-    tokens = {leaf: sum(size[i] for i in ids) for leaf, ids in leaves.items()}
-    for total in (150, 900, 1800, 10_000):
-        plan = {(r["__l0"], r["__l1"]): r for r in mixing.leaf_plan(docs, ("lang", "source"), weights, total, 1.0, epochs, power).collect()}
-
-        def weighed(paths):
-            own = {p: next((w for key, w in weights.items() if len(key) == len(p) and all(a in ("*", b) for a, b in zip(key, p))), None) for p in paths}
-            amount = {p: sum(t for leaf, t in tokens.items() if leaf[: len(p)] == p) for p in paths}
-            given, rest = [w for w in own.values() if w is not None], [amount[p] ** power for p in paths if own[p] is None]
-            return {p: (own[p] if own[p] is not None else amount[p] ** power / np.mean(rest) * (np.mean(given) if given else 1.0), epochs * amount[p]) for p in paths}
-
-        want = {}
-        for (lang,), budget in _filled(float(total), weighed({leaf[:1] for leaf in leaves})).items():
-            want |= _filled(budget, weighed({leaf for leaf in leaves if leaf[0] == lang}))
-        assert {leaf: r["budget"] for leaf, r in plan.items()} == {leaf: math.floor(round(b, 3)) for leaf, b in want.items()}
-        read = {}
-        for r in mixing.mix(docs, weights=weights, total=total, max_epochs=epochs, power=power).collect():
-            read.setdefault((r["lang"], r["source"]), []).append((r["epoch_"], r["doc_id"]))
-        keyed = docs.select("doc_id", F.col("doc_id").alias("__id"), F.crc32(F.col("text").cast("binary")).alias("__crc"))
-        for leaf, ids in leaves.items():
-            whole, left = divmod(plan[leaf]["budget"], tokens[leaf])
-            order = {r["doc_id"]: r["h"] for r in keyed.select("doc_id", mixing._hash(42, whole).alias("h")).collect()}
-            expected = [(e, i) for e in range(whole) for i in ids]
-            for i in sorted(ids, key=order.get):
-                left -= size[i]
-                if left < 0:
-                    break
-                expected.append((whole, i))
-            assert sorted(read.get(leaf, [])) == sorted(expected)
+    for total in (150, 1800):
+        budgets, read = plain_mixture(docs, [(r[0], len(r[1].split()), r[2], r[3]) for r in rows], weights, total, 2, 0.5)
+        plan = mixing.leaf_plan(docs, ("lang", "source"), weights, total, 1.0, 2, 0.5).collect()
+        assert {(r["__l0"], r["__l1"]): r["budget"] for r in plan} == budgets
+        got = [(r["epoch_"], r["doc_id"]) for r in mixing.mix(docs, weights=weights, total=total, max_epochs=2, power=0.5).collect()]
+        assert len(got) == len(set(got)) and set(got) == read
 
 
 def test_mixing_of_odd_tables(spark):
@@ -209,8 +217,8 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     by = {r[0]: r[1] for r in rows}
     assert all(r["size"] == len(by[r["doc_id"]]) + 8 and r["text_crc32"] == zlib.crc32(by[r["doc_id"]].encode()) for r in got)
-    target = kd_shards(df, target_bytes=50_000).groupBy("shard").agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0]
-    assert target <= 51_000
+    target = kd_shards(df, target_bytes=200_000).groupBy("shard").agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0]
+    assert target <= 201_000
 
 
 def test_shards_follow_the_tree(spark):
@@ -716,6 +724,79 @@ def test_stages_on_odd_tables(spark):
             assert len(set(map(tuple, got)) - set(map(tuple, docs.collect()))) == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
+def test_recall_on_the_embeddings(spark):
+    from skyfold.llm.queries import op1_projection_ann
+
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    found = {}
+    for r in op1_projection_ann(spark, SF).collect():
+        found.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    assert sorted(found) == sorted(ids[ids % 20 == 0].tolist())
+    hits = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        scores = (x * x[q]).sum(1)
+        best = [k for k in np.lexsort((ids, -scores)) if k != q][:20]
+        got = found[int(ids[q])]
+        assert len(got) == 20 and all(got[i] == (x[ids == i][0] * x[q]).sum() for i in got)
+        hits.append(len(set(ids[best].tolist()) & set(got)) / 20)
+    assert np.mean(hits) >= 0.9
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """What each stage after the classifier keeps of its own input, by all pairs, all windows and a plain recursion."""
+    import corpus_pipeline
+
+    low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    docs, kept = spark.read.parquet(f"{SF}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = {r["doc_id"]: r for r in docs.collect()}
+    words = {i: (r["text"] or "").encode().translate(low).split() for i, r in kept["quality"].items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i, w in words.items()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            common = len(sets[i] & sets[j])
+            if 10 * common >= 8 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert set(kept["near_duplicates"]) == {i for i in ids if find(i) == i}
+    item = re.compile(rb"[0-9a-z\x80-\xff]+")
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = item.findall((r["text"] or "").encode().translate(low))
+        n = min(10, len(w))
+        windows |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
+    clean = set()
+    for i, r in kept["near_duplicates"].items():
+        w = item.findall((r["text"] or "").encode().translate(low))
+        if not any(tuple(w[k : k + n]) in windows for n in {len(x) for x in windows} for k in range(len(w) - n + 1)):
+            clean.add(i)
+    assert set(kept["decontaminate"]) == clean
+    rows = [(i, len((r["text"] or "").encode().split()), r["lang"] or "", r["source"] or "") for i, r in kept["decontaminate"].items()]
+    total = corpus_pipeline.MIX_SHARE * sum(r[1] for r in rows)
+    _, read = plain_mixture(spark.read.parquet(str(tmp_path / "decontaminate")), rows, {}, total, 1, 0.5)
+    assert set(kept["mixture"]) == {i for _, i in read}
+    size = {}
+    for i, r in kept["shards"].items():
+        text = (kept["mixture"][i]["text"] or "").encode()
+        assert r["size"] == len(text) + 8 and r["text_crc32"] == zlib.crc32(text)
+        size[r["shard"]] = size.get(r["shard"], 0) + r["size"]
+    assert set(kept["shards"]) == set(kept["mixture"])
+    assert max(size.values()) <= sum(size.values()) / corpus_pipeline.SHARDS + 6 * max(r["size"] for r in kept["shards"].values())
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
