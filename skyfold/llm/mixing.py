@@ -69,7 +69,7 @@ def budgets(leaves: DataFrame, n_levels: int, weights: Mapping[tuple[str, ...],
     ``weights``: weight of a node among its siblings by its path from the root; a node without one weighs its tokens to the ``power``.
     """
     names = [f"__l{i}" for i in range(n_levels)]
-    df = leaves.withColumn("__room0", (F.col("tokens") * F.lit(max_epochs)).cast("double")).withColumn("__all", F.lit(0))
+    df = cut(leaves.withColumn("__room0", (F.col("tokens") * F.lit(max_epochs)).cast("double")).withColumn("__all", F.lit(0)))
     everything = df.agg(F.sum("tokens").alias("t")).first()["t"] or 0
     df = df.withColumn("__budget", F.lit(float(total if total is not None else share * everything)))
     for level in range(n_levels):
