@@ -40,8 +40,8 @@ REGIONS = frozenset("html body main article section div center details table tbo
 HIDDEN = re.compile(r"display\s*:\s*none")
 #: Weight of a line's ratio without marks, in a marked region, and in a marked article.
 WEIGHTS = (1.0, 4.0, 16.0)
-#: Share of the text above the threshold that the region holds; links in a row that are a menu.
-HOLDS, MENU = 0.8, 3
+#: Share of the weighted text above the threshold that the region holds, where it is marked and where not; links in a row that are a menu.
+MARKED_HOLDS, HOLDS, MENU = 0.5, 0.8, 3
 #: Words of class, id and role that mark what is no article.
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adsby\w*|advert\w*|adbox|banner|sponsor\w*|promo\w*|teasers?|trending|outbrain|taboola|disclaimer|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|sidebar\w*|side|aside|widget\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|newsletter|subscribe|signup|login|share\w*|sharing|social\w*|related|recommend\w*|comments?(?:list|area|box|section|thread|form|body|text)?|replies|reply|disqus|respond|responses?|reactions?|pagination|pager|search\w*|copyright|legal|skip|toolbar|tags?cloud|complementary|contentinfo|navigation|dialog)(?:$|[\s_-])",
@@ -53,7 +53,6 @@ REGION = frozenset("content main".split())
 OWN_HEAD = re.compile(r"(?:article|entry|post|story)[_-]?(?:header|head|title)", re.I)
 BESIDE = re.compile(r"(?:has|no|with|without)[_-]", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-SPACE = re.compile(r"\s+")
 
 
 def _role(tag: str, names: list[str]) -> tuple[bool, int]:
@@ -98,7 +97,7 @@ class Lines(HTMLParser):
 
     def flush(self) -> None:
         if self.text:
-            line = SPACE.sub(" ", "".join(self.text)).strip()
+            line = " ".join("".join(self.text).split())
             if line:
                 self.out.append((line, self.tags, self.link, self.inside, self.heading))
             self.text.clear()
@@ -167,8 +166,11 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        at = self._last((tag,))
-        if at < 0 or tag not in BLOCKS and at < self._last(WALLS):
+        places = self.places.get(tag)
+        if not places:
+            return
+        at = places[-1]
+        if tag not in BLOCKS and at < self._last(WALLS):
             return
         if tag in BLOCKS or any(noise or before >= 0 for _, noise, before in self.stack[at:]):
             self.flush()
@@ -221,19 +223,18 @@ def threshold(ratios: np.ndarray) -> float:
 
 
 def region(lines: list[tuple[str, int, int, int, bool]], chosen: np.ndarray, above: list[int], level: list[int]) -> int:
-    """The container that holds ``HOLDS`` of the chosen lines' text: a marked article or else a marked region, if one does, else the innermost container."""
+    """The container of the chosen lines: a marked article or else a marked region that holds ``MARKED_HOLDS`` of their text, if there is one, else the innermost container that holds ``HOLDS`` of it."""
     mass = np.zeros(len(above))
     np.add.at(mass, [x[3] for x in lines], [len(x[0]) * c for x, c in zip(lines, chosen)])
     for c in range(len(above) - 1, 0, -1):
         mass[above[c]] += mass[c]
-    enough = HOLDS * mass[0]
     for wanted in (2, 1):
-        held = [c for c in range(len(above)) if level[c] == wanted and mass[c] >= enough]
+        held = [c for c in range(len(above)) if level[c] == wanted and mass[c] >= MARKED_HOLDS * mass[0]]
         if held:
             return held[0]
     at = 0
     for c in range(1, len(above)):  # inner containers come after those around them
-        if above[c] == at and mass[c] >= enough:
+        if above[c] == at and mass[c] >= HOLDS * mass[0]:
             at = c
     return at
 
@@ -434,8 +435,8 @@ def plain(html: str | None) -> Plain:
             continue
         if not in_head and (tag in BLOCKS or tag == "br"):
             pieces.append("\n")
-    out.text = "\n".join(x for x in (SPACE.sub(" ", line).strip() for line in unescape("".join(pieces)).split("\n")) if x)
-    out.title = SPACE.sub(" ", unescape(out.title)).strip()
+    out.text = "\n".join(x for x in (" ".join(line.split()) for line in unescape("".join(pieces)).split("\n")) if x)
+    out.title = " ".join(unescape(out.title).split())
     return out
 
 
