@@ -195,7 +195,7 @@ class Block:
             bound = np.minimum(bound, np.maximum(0, 2 * top * top - 2 * top * least / norm))
             np.put_along_axis(far, head, np.inf, axis=1)
         # all that the stopping test lets in; what the k-th distance rules out needs no exact score
-        inside = far <= (factor * bound + slack)[:, None]
+        inside = np.isfinite(far) & (far <= (factor * bound + slack)[:, None])
         some = np.flatnonzero(inside.any(0))
         rough = q @ self.x[rows[some]].T
         who, col = np.nonzero(inside[:, some] & (rough >= (least - 1e-12 * top * norm)[:, None]))
