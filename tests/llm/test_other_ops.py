@@ -84,6 +84,12 @@ def test_unusable_vectors_take_no_part(spark):
     assert _found(spark, [[1.0, 0.0]]) == {}
 
 
+def test_repeated_ids(spark):
+    """Rows that share an id are candidates each; of those that ask, the least vector does."""
+    rows = [(0, [1.0, 0.0], 0.0, 1, "a"), (0, [0.0, 1.0], 0.0, 1, "b"), (1, [0.5, 2.0], 0.0, 1, "c"), (1, [3.0, 1.0], 0.0, 1, "d"), (2, [1.0, 1.0], 0.0, 1, "e")]
+    assert _found(spark, [], extra=rows) == {0: [(1, 2.0), (1, 1.0), (2, 1.0)]}
+
+
 # -- mixing
 
 DOCS = "doc_id long, text string, lang string, source string, epoch int, n_tokens int"

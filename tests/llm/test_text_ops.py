@@ -296,6 +296,42 @@ def test_decontamination_against_brute_force(spark):
     assert contamination(_docs(spark, rows), frame.limit(0)).filter("contaminated").count() == 0
 
 
+def test_a_text_of_one_word_takes_bounded_memory():
+    """Equal windows of an item are one, and places of one window are a run of words: 2 MB of one word against an item of 500."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from skyfold.llm.suffix_decontamination import _finished, _search
+
+    test = ItemBlock.of([("1", "word " * 500), ("2", "word " * 20), ("3", "other " * 12)], 10)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["word " * 400_000, "other " * 11])], ["doc_id", "text"])
+    tracemalloc.start()
+    rows = [r for b in _search(iter([batch]), test, 10) for r in _finished(b, ["doc_id"]).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600 << 20
+    assert [(r["n_hit"], r["items"], r["longest"], r["spans"]) for r in rows] == [(400_000, ["1", "2"], 500, "0:400000"), (11, ["3"], 11, "0:11")]
+
+
+def test_longest_matches_against_brute_force():
+    from skyfold.llm.suffix_decontamination import longest_matches
+
+    rng = np.random.default_rng(5)
+    for n, m, letters in ((60, 40, 2), (200, 80, 3), (1, 1, 2), (50, 0, 2)):
+        for _ in range(20):
+            text, test = (np.where(rng.random(k) < 0.1, 0, rng.integers(1, letters + 1, k)) for k in (n, m))
+            got = longest_matches(text, test)
+            for i in range(n):
+                best = 0
+                for j in range(m):
+                    k = 0
+                    while i + k < n and j + k < m and text[i + k] == test[j + k] != 0:
+                        k += 1
+                    best = max(best, k)
+                assert got[i] == best
+
+
 def test_longest_match_and_spans(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
     r = contamination(_docs(spark, [(1, "x A b, c d e f y a b c")]), items, 3).first()
