@@ -6,7 +6,7 @@ import math
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
@@ -353,13 +353,13 @@ add("T9_boxes", _boxes, f"WITH {CLOUD} SELECT id, {' AND '.join(f'{c} >= {lit(a)
 
 def _sorted_by_key(spark, sf_dir):
     """Partitions hold ranges of the key, and each is sorted by it: so many places where it falls."""
-    df = neighbors.clustered(x.cloud(spark, sf_dir), "pos", 4).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    ends = _kept(df.groupBy("part").agg(F.min("morton").alias("lo"), F.max("morton").alias("hi"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("at", "morton"))).alias("rows")))
-    falls = F.aggregate(F.sequence(F.lit(1), F.size("rows") - 1), F.lit(0), lambda s, i: s + (F.col("rows")[i]["morton"] < F.col("rows")[i - 1]["morton"]).cast("int"))
-    within = ends.filter("n > 1").select(F.coalesce(falls, F.lit(0)).alias("f"))
-    crossed = ends.alias("a").join(ends.alias("b"), F.col("a.part") < F.col("b.part")).filter("a.hi > b.lo")
-    total = within.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("falls"))
-    return total.crossJoin(crossed.agg(F.count(F.lit(1)).alias("crossed"))).crossJoin(ends.agg(F.sum("n").alias("n")))
+    df = _kept(neighbors.clustered(x.cloud(spark, sf_dir), "pos", 4).select("morton", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    before = F.lag("morton").over(Window.partitionBy("part").orderBy("at"))
+    total = df.withColumn("before", before).agg(F.coalesce(F.sum((F.col("morton") < F.col("before")).cast("long")), F.lit(0)).alias("falls"), F.count(F.lit(1)).alias("n"))
+    # one row for each partition: the end of the one before is no later than its start
+    ends = df.groupBy("part").agg(F.min("morton").alias("lo"), F.max("morton").alias("hi"))
+    crossed = ends.withColumn("last", F.max("hi").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).agg(F.coalesce(F.sum((F.col("last") > F.col("lo")).cast("long")), F.lit(0)).alias("crossed"))
+    return total.crossJoin(crossed)
 
 
 add("T4_sorted_by_key", _sorted_by_key, "SELECT CAST(0 AS BIGINT) AS falls, CAST(0 AS BIGINT) AS crossed, CAST(count(*) AS BIGINT) AS n FROM embeddings")
