@@ -118,8 +118,7 @@ def decoded(body: bytes, headers: dict[str, str]) -> str:
 def absolute(links: list[str], base: str) -> list[str]:
     """Links as absolute addresses, in page order, each once; scripts and mail addresses are left out."""
     out: dict[str, None] = {}
-    for x in links:
-        x = x.strip()
+    for x in dict.fromkeys(x.strip() for x in links):
         if x.lower().startswith(("javascript:", "mailto:")):
             continue
         try:
