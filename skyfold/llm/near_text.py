@@ -38,7 +38,7 @@ SENT = 200_000
 #: Bytes of bit rows, and open pairs, that are compared at once.
 BIT_BYTES, OPEN_PAIRS = 16 << 20, 1 << 16
 #: Deviations of the distance within which a pair is a link without a look at its shingles, and beyond which it is none.
-WITHIN, BEYOND = 3.5, 5.0
+WITHIN, BEYOND = 5.0, 5.0
 #: Sets of this size and more count as one: what their differing bits exceed the limit by falls with the size.
 LARGE = 64
 #: Pairs compared in one piece.
