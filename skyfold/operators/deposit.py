@@ -29,6 +29,15 @@ def kernel_size(volume: Column, nvol: float = 8) -> Column:
     return F.cbrt(F.lit(float(nvol)) * volume / F.lit(SPHERE))
 
 
+def _norms(share: np.ndarray) -> np.ndarray:
+    """Sums over each kernel's pixels, rounded once, so that no order of summation decides where a deposit lies half way between two millionths.
+
+    Shares (1 - q, or 0) are whole multiples of 2^-53 and up to ``SLAB`` of them meet here: what is above and what is below 2^-27 add up without rounding.
+    """
+    high = np.floor(share * 2.0**27) * 2.0**-27
+    return high.sum(axis=(1, 2)) + (share - high).sum(axis=(1, 2))
+
+
 def _stencils(x, y, h, value, nx, ny) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Flat pixel numbers and shares of the value, for kernels in pixel units; edge mass is lost, not moved.
 
@@ -48,7 +57,7 @@ def _stencils(x, y, h, value, nx, ny) -> Iterator[tuple[np.ndarray, np.ndarray]]
             dx, dy = x[w, None] - (ix + 0.5), y[w, None] - (iy + 0.5)
             share = 1.0 - (dx[:, :, None] ** 2 + dy[:, None, :] ** 2) / (h[w] * h[w])[:, None, None]
             np.maximum(share, 0.0, out=share)
-            norm = share.sum(axis=(1, 2))
+            norm = _norms(share)
             # a kernel that meets no pixel centre puts all into its own pixel
             none = norm <= 0
             share[none, r, r], norm[none] = 1.0, 1.0

@@ -383,6 +383,32 @@ def test_a_kernel_of_many_pixels():
     assert total == pytest.approx(1e9 * 512**2 / (np.pi * 5e4**2 / 2), rel=1e-3)
 
 
+def test_norms_are_rounded_once(spark, tmp_path):
+    """Rows of P2_project whose deposits lie half way between two millionths: kernels' norms as exact sums, whatever the order of the pixels."""
+    from skyfold.plans.registry import QUERIES
+
+    kernels = np.random.default_rng(4).random((200, 6, 6))
+    q = np.where(kernels < 0.3, 1.0, kernels)
+    share = 1.0 - q
+    assert (deposit._norms(share) == [math.fsum(k.ravel()) for k in share]).all()
+    assert (deposit._norms(share) == deposit._norms(share[:, ::-1].transpose(0, 2, 1))).all()
+    ties = [(44.0, 24150.0, 0.04), (44.0, 41475.0, 0.04), (36.0, 11025.0, 0.04), (36.0, 17850.0, 0.04), (36.0, 23100.0, 0.04)]
+    lines = [(k, 1, 1, 1, x, price, discount, 0.02, "N") for k, (x, price, discount) in enumerate(ties)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"
+    spark.createDataFrame(lines, names).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = {}
+    for x, price, discount in ties:
+        px, py, h = ((x - 25.0) + 20.0) * 0.8, ((price / 2100.0 - 25.0) + 20.0) * 0.8, (1.2 + discount * 20.0) * 0.8
+        r = int(h) + 1
+        pixels = [(iy, ix) for iy in range(int(py) - r, int(py) + r) for ix in range(int(px) - r, int(px) + r)]
+        s = {(iy, ix): 1.0 - ((px - (ix + 0.5)) * (px - (ix + 0.5)) + (py - (iy + 0.5)) * (py - (iy + 0.5))) / (h * h) for iy, ix in pixels}
+        norm = math.fsum(v for v in s.values() if v > 0)
+        for (iy, ix), v in s.items():
+            if v > 0 and 0 <= ix < 32 and 0 <= iy < 32:
+                want[iy, ix] = want.get((iy, ix), 0) + math.floor(v * (x / norm) * 1e6 + 0.5)
+    assert {(r["iy"], r["ix"]): r["value"] for r in QUERIES["P2_project"](spark, str(tmp_path)).collect()} == want
+
+
 def test_no_shared_folder_on_a_cluster():
     from types import SimpleNamespace
 
